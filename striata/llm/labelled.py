@@ -19,4 +19,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, k
     if keep is not None:
         by_id = by_id.where(keep)
     chosen = by_id.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").limit(2 * rows)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")

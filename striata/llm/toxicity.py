@@ -1,9 +1,10 @@
-"""Toxicity by cumulative-link ordinal regression on sparse word features.
+"""Toxicity by cumulative-link ordinal regression on sparse text features.
 
-P(grade <= k) = sigmoid(theta_k - x.w), with one weight vector for all ordered thresholds; x holds log(1 + count) of the
-words chosen at the fit. Grades: 0 for a label of 0; a label of 1 is graded by its text's share of marker words (words
-that the labelled sample ties to toxic texts): 1 without any, 2 up to the median share, 3 above. A text's expected
-severity is the sum over k >= 1 of P(grade >= k); it is toxic from CUTOFF on.
+P(grade <= k) = sigmoid(theta_k - x.w), with one weight vector for all ordered thresholds. Features are markers: words
+and word beginnings that the labelled sample ties to toxic texts; x holds log(1 + count) of each, and of all words that
+have a marker. Weights are not negative, so another marker never lowers a text's severity. Grades: 0 for a label of 0;
+a label of 1 is graded by its text's share of words with a marker: 1 without any, 2 up to the median share, 3 above.
+A text's expected severity is the sum over k >= 1 of P(grade >= k); it is toxic from CUTOFF on.
 
 Null or empty text: scored as a text without features. Null doc_id: kept. Repeated rows: one result row each. No usable
 labels: all thresholds stay high, severity 0, nothing is toxic. Extra columns are ignored.
@@ -25,12 +26,16 @@ from .labelled import labelled_sample
 
 #: Labelled documents that a fit uses at most.
 SAMPLE_ROWS = 12_000
-#: Words that may become features: those in the most labelled documents.
-MAX_FEATURES = 20_000
-#: A feature stands in at least so many labelled documents.
-MIN_DOCS = 3
+#: Markers at most: those with the strongest evidence.
+MAX_FEATURES = 2_000
+#: A marker's evidence: the log likelihood ratio, in nats, of its share of toxic texts against the sample's.
+MIN_EVIDENCE = 14.0
+#: The least share of toxic texts among those with a marker.
+MIN_SHARE = 0.9
+#: Bytes of a word's beginnings that may become markers, beside the whole word.
+BEGINNINGS = (3, 4, 5, 6, 7)
 #: Expected severity from which a text is toxic.
-CUTOFF = 1.0
+CUTOFF = 0.6
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -38,23 +43,56 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def parts(word: bytes) -> list[bytes]:
+    """The features that a word may have: itself, and its beginnings, marked by a star."""
+    return [word, *(word[:k] + b"*" for k in BEGINNINGS if len(word) >= k)]
+
+
+class _Markers(dict):
+    """word -> its marker numbers (0 first, which stands for any), or () if it has none; bounded memory."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        found = tuple(self.vocabulary[x] for x in parts(word) if x in self.vocabulary)
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = out = (0, *found) if found else ()
+        return out
+
+
+def count_markers(text: bytes, markers: _Markers) -> tuple[int, Counter]:
+    words = WORD.findall(text.lower())
+    return len(words), Counter(j for found in map(markers.__getitem__, words) if found for j in found)
+
+
 @dataclass
 class Model:
-    weights: dict[bytes, float] = field(default_factory=dict)
+    vocabulary: dict[bytes, int] = field(default_factory=dict)
+    weights: list[float] = field(default_factory=lambda: [0.0])
     thresholds: tuple[float, ...] = (20.0, 21.0, 22.0)
 
+    def __post_init__(self):
+        self.markers = _Markers(self.vocabulary)
+
+    def __getstate__(self):
+        return self.vocabulary, self.weights, self.thresholds
+
+    def __setstate__(self, state):
+        self.vocabulary, self.weights, self.thresholds = state
+        self.__post_init__()
+
     def severity(self, text: bytes) -> tuple[float, int]:
         """Expected severity and the likeliest grade."""
-        w = self.weights
-        n = Counter(filter(w.__contains__, WORD.findall(text.lower())))
-        s = math.fsum(w[k] * math.log1p(c) for k, c in n.items())
+        s = math.fsum(self.weights[j] * math.log1p(c) for j, c in count_markers(text, self.markers)[1].items())
         over = _sigmoid(s - np.array(self.thresholds))
         p = -np.diff(np.concatenate(([1.0], over, [0.0])))
         return float(over.sum()), int(np.argmax(p))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, n_features: int, grades: int = 4, l1: float = 2e-4, steps: int = 500, rate: float = 0.05):
-    """Sparse (row, column, value) and grades -> weights, ordered thresholds. Proximal Adam on the mean log loss."""
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, n_features: int, grades: int = 4, l2: float = 1e-4, steps: int = 800, rate: float = 0.05):
+    """Sparse (row, column, value) and grades -> weights, ordered thresholds. Projected Adam on the mean log loss with an L2 penalty; w >= 0."""
     n = len(y)
     w, theta0, gaps = np.zeros(n_features), 1.0, np.zeros(grades - 2)
     m, v = np.zeros(n_features + grades - 1), np.zeros(n_features + grades - 1)
@@ -72,11 +110,11 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndar
         dtheta = dtheta[1:-1]
         dgaps = np.array([dtheta[j + 1 :].sum() * math.exp(gaps[j]) for j in range(grades - 2)])
         g = np.concatenate((np.bincount(cols, weights=vals * ds[rows], minlength=n_features) if len(rows) else np.zeros(n_features), [dtheta.sum()], dgaps))
+        g[:n_features] += l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         pace = rate * (1 - 0.9 * step / steps)
         move = pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
-        w = w - move[:n_features]
-        w = np.sign(w) * np.maximum(np.abs(w) - pace * l1 * 50, 0)
+        w = np.maximum(w - move[:n_features], 0)
         theta0 -= move[n_features]
         gaps = np.clip(gaps - move[n_features + 1 :], -4, 4)
     return w, tuple(float(x) for x in theta0 + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
@@ -110,44 +148,38 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     chosen = sample.where(F.col("doc_id").isin(list(kept))) if len(kept) < 50 else sample.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in kept], "doc_id long")), "doc_id")
 
     def distinct(batch):
-        ids, labels_, words = [], [], []
-        for i, label, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), column_bytes(batch.column(1)), strict=True):
-            found = set(WORD.findall(t.lower()))
-            words += found
-            labels_ += [label] * len(found)
-            ids += [i] * len(found)
-        return {"word": words, "toxic": labels_}
-
-    df = map_batches(chosen.select("doc_id", "text", "label"), distinct, "word binary, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    top = df.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(MAX_FEATURES).collect()
-    vocabulary = {bytes(r.word): j for j, r in enumerate(top)}
+        labels_, found = [], []
+        for label, t in zip(batch.column(2).to_pylist(), column_bytes(batch.column(1)), strict=True):
+            mine = {x for w in set(WORD.findall(t.lower())) for x in parts(w)}
+            found += mine
+            labels_ += [label > 0] * len(mine)
+        return {"part": found, "toxic": np.array(labels_, dtype=np.int32)}
+
     n_toxic = sum(x > 0 for x in kept.values())
-    n_clean = len(kept) - n_toxic
-    odds = np.array([math.log((r.t + 0.1) / (n_toxic + 0.2)) - math.log((r.n - r.t + 0.1) / (n_clean + 0.2)) for r in top])
-    marker = (odds >= math.log(10)) & (np.array([r.t for r in top]) >= max(3, 0.01 * n_toxic)) if top else np.zeros(0, dtype=bool)
+    mean = n_toxic / len(kept)
+    df = map_batches(chosen.select("doc_id", "text", "label"), distinct, "part binary, toxic int").groupBy("part").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    share = F.col("t") / F.col("n")
+    evidence = F.col("t") * F.log(share / mean) + F.when(share < 1, (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - mean))).otherwise(0.0)
+    top = df.where(F.col("t") >= MIN_SHARE * F.col("n")).where(share > mean).withColumn("evidence", evidence).where(F.col("evidence") >= MIN_EVIDENCE).orderBy(F.desc("evidence"), "part").limit(MAX_FEATURES).collect()
+    vocabulary = {bytes(r.part): j + 1 for j, r in enumerate(top)}
+    markers = _Markers(vocabulary)
 
     def features(batch):
-        out: dict = {"doc_id": batch.column(0), "n_words": [], "at": [], "n": []}
-        for t in column_bytes(batch.column(1)):
-            words = WORD.findall(t.lower())
-            c = Counter(filter(vocabulary.__contains__, words))
-            out["n_words"].append(len(words))
-            out["at"].append([vocabulary[w] for w in c])
-            out["n"].append(list(c.values()))
-        return out
+        found = [count_markers(t, markers) for t in column_bytes(batch.column(1))]
+        return {"doc_id": batch.column(0), "n_words": [n for n, _ in found], "at": [list(c) for _, c in found], "n": [list(c.values()) for _, c in found]}
 
     got = {r.doc_id: r for r in map_batches(chosen.select("doc_id", "text"), features, "doc_id long, n_words int, at array<int>, n array<int>").collect()}
     ids = sorted(got)
-    lengths = [len(got[i]["at"]) for i in ids]
-    line = np.repeat(np.arange(len(ids)), lengths)
+    line = np.repeat(np.arange(len(ids)), [len(got[i]["at"]) for i in ids])
     cols = np.array([j for i in ids for j in got[i]["at"]], dtype=np.int64)
     counts = np.array([c for i in ids for c in got[i]["n"]], dtype=np.float64)
-    share = np.bincount(line, weights=counts * marker[cols], minlength=len(ids)) / np.maximum([got[i].n_words for i in ids], 1) if len(cols) else np.zeros(len(ids))
+    share = np.bincount(line, weights=counts * (cols == 0), minlength=len(ids)) / np.maximum([got[i].n_words for i in ids], 1)
     toxic = np.array([kept[i] > 0 for i in ids])
-    middle = np.median(share[toxic & (share > 0)]) if (toxic & (share > 0)).any() else 0
+    marked = toxic & (share > 0)
+    middle = np.median(share[marked]) if marked.any() else 0
     y = np.where(toxic, np.where(share == 0, 1, np.where(share <= middle, 2, 3)), 0)
-    w, thresholds = fit_ordinal(line, cols, np.log1p(counts), y, len(top))
-    return Model({word: float(w[j]) for word, j in vocabulary.items() if abs(w[j]) > 1e-6}, thresholds)
+    w, thresholds = fit_ordinal(line, cols, np.log1p(counts), y, len(top) + 1)
+    return Model(vocabulary, [float(x) for x in w], thresholds)
 
 
 def score(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
