@@ -149,12 +149,14 @@ class Tree:
         self.log10 = np.zeros((n, 256), dtype=np.float32)
         inner = np.zeros(n, dtype=bool)
         inner[parent[parent >= 0]] = True
-        for level in range(8):  # binary decisions after `level` known bits
-            pair = c.reshape(n, 2**level, 2, -1).sum(3)
-            one = self._decisions(pair[:, :, 0], pair[:, :, 1], depth, parent, inner)
-            with np.errstate(divide="ignore"):
-                both = np.log10(np.stack((1 - one, one), axis=2))
-            self.log10 += np.repeat(both.reshape(n, -1), 128 >> level, axis=1).astype(np.float32)
+        for level in range(8):  # binary decisions after `level` known bits, a few of their trees at a time
+            span = 256 >> level
+            for j in range(0, 1 << level, 16):
+                cut = slice(j * span, min(j + 16, 1 << level) * span)
+                pair = c[:, cut].reshape(n, -1, 2, span // 2).sum(3)
+                one = self._decisions(pair[:, :, 0], pair[:, :, 1], depth, parent, inner)
+                both = np.log10(np.stack((1 - one, one), axis=2)).astype(np.float32)
+                self.log10[:, cut] += np.repeat(both.reshape(n, -1), span // 2, axis=1)
 
     @staticmethod
     def _decisions(zeros, ones, depth, parent, inner) -> np.ndarray:
