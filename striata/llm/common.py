@@ -55,16 +55,27 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Rows that a Python step turns into objects at once.
+SLICE_ROWS = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small views of Arrow batches: a worker's memory doesn't depend on the batch size of the session."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(i, SLICE_ROWS)
+
+
 def map_batches(df: DataFrame, work, schema: str) -> DataFrame:
-    """work(RecordBatch) -> dict of columns (or None for no rows), for each Arrow batch of df."""
+    """work(RecordBatch) -> dict of columns (or None for no rows), for each small slice of df's Arrow batches."""
     from pyspark.sql.types import _parse_datatype_string  # the public DDL parser needs a session in any case
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
+        for batch in slices(batches):
+            if (out := work(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in names], schema=names)
 
     return df.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_bytes, materialize, stream, words_of
+from .common import chunks, column_bytes, materialize, slices, stream, words_of
 from .labelled import crc_of
 
 DEPTH = 5
@@ -97,7 +97,7 @@ def counted(training: DataFrame) -> DataFrame:
 
     def run(batches):
         tallies = [Tally(), Tally()]
-        for batch in batches:
+        for batch in slices(batches):
             texts = column_bytes(batch.column(0))
             for lo, hi in chunks(texts):
                 part = texts[lo:hi]
@@ -269,7 +269,7 @@ def score(docs: DataFrame, training: Column | None = None) -> DataFrame:
         if not built:
             built.append(Table(*table.value))
         known = built[0]
-        for batch in batches:
+        for batch in slices(batches):
             texts = column_bytes(batch.column(1))
             for lo, hi in chunks(texts):
                 part = texts[lo:hi]

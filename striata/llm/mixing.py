@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, materialize
+from .common import column_bytes, materialize, slices
 
 #: Weights of the sources by rank, repeating.
 WEIGHTS = (5, 2, 1)
@@ -36,7 +36,7 @@ def sized(docs: DataFrame) -> DataFrame:
     names = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sizes = pa.array([len(t.split()) for t in column_bytes(batch.column(3))], type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), sizes], schema=names)
 

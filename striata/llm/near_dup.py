@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, column_bytes, exact_shingles, map_batches, materialize, mix, only, shingles_of, small, stream
+from .common import chunks, column_bytes, exact_shingles, map_batches, materialize, mix, only, shingles_of, slices, stream
 
 COORDINATES = 64
 #: Collisions a linked pair has: P(Binomial(64, 0.8) < 34) < 2e-6.
@@ -89,7 +89,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     def run(batches):
         last: tuple = (None, set())
-        for batch in batches:
+        for batch in slices(batches):
             ta, tb, keep = column_bytes(batch.column(2)), column_bytes(batch.column(3)), []
             for x, y in zip(ta, tb, strict=True):
                 if x != last[0]:

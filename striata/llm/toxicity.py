@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_bytes, map_batches, materialize, shingles_of, stream
+from .common import chunks, column_bytes, map_batches, materialize, shingles_of, slices, stream
 from .labelled import labelled_sample
 
 #: Labelled documents that a fit uses at most.
@@ -56,7 +56,7 @@ class _Markers(dict):
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         found = tuple(self.vocabulary[x] for x in parts(word) if x in self.vocabulary)
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = out = (0, *found) if found else ()
         return out
@@ -148,16 +148,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     chosen = sample.where(F.col("doc_id").isin(list(kept))) if len(kept) < 50 else sample.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in kept], "doc_id long")), "doc_id")
 
     def distinct(batch):
-        labels_, found = [], []
+        both: tuple[Counter, Counter] = Counter(), Counter()
         for label, t in zip(batch.column(2).to_pylist(), column_bytes(batch.column(1)), strict=True):
             mine = {x for w in set(WORD.findall(t.lower())) for x in parts(w)}
-            found += mine
-            labels_ += [label > 0] * len(mine)
-        return {"part": found, "toxic": np.array(labels_, dtype=np.int32)}
+            both[0].update(mine)
+            if label > 0:
+                both[1].update(mine)
+        return {"part": list(both[0]), "n": list(both[0].values()), "t": [both[1][x] for x in both[0]]}
 
     n_toxic = sum(x > 0 for x in kept.values())
     mean = n_toxic / len(kept)
-    df = map_batches(chosen.select("doc_id", "text", "label"), distinct, "part binary, toxic int").groupBy("part").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    df = map_batches(chosen.select("doc_id", "text", "label"), distinct, "part binary, n long, t long").groupBy("part").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     share = F.col("t") / F.col("n")
     evidence = F.col("t") * F.log(share / mean) + F.when(share < 1, (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - mean))).otherwise(0.0)
     top = df.where(F.col("t") >= MIN_SHARE * F.col("n")).where(share > mean).withColumn("evidence", evidence).where(F.col("evidence") >= MIN_EVIDENCE).orderBy(F.desc("evidence"), "part").limit(MAX_FEATURES).collect()
@@ -201,7 +202,7 @@ def drop_toxic(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFra
     schema = docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = pa.array([model.severity(t)[0] < cutoff for t in column_bytes(batch.column(at))], type=pa.bool_())
             yield batch.filter(pc.fill_null(keep, True))
 
