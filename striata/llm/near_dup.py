@@ -9,11 +9,14 @@ Jaccard similarity is at least `percent`/100, and a group is a connected compone
 3. Prefix and skip: postings are ordered by frequency. A class skips its MATCHES - 1 most frequent coordinate-value
    pairs: if two classes agree in MATCHES, they still meet under a rarer one. Values that nobody shares post nothing,
    and values that a passage or frequent words give to very many classes are those skipped.
-4. In each list, every class meets the list's first one (its pivot); then each class that wasn't linked to the pivot
-   meets all others of the list. No list is expanded into all its pairs, and no link between lists' members is lost for
-   the components: two members either both have a link to the pivot or one of them met the other.
-5. A pair goes on if its sizes allow the similarity and a 256-bit sketch of the signatures shows enough collisions, and
-   is then verified on the whole sets, made again from the texts.
+4. Lists aren't expanded into their pairs. Every class of a list meets STARS of its members, its pivots. The lists of
+   one first pivot are then taken as one: if all its classes are connected with it, it is done; else each class outside
+   the pivot's component meets the others that aren't in its own component. Two linked classes share a first pivot, so
+   they are connected already or meet.
+5. Meetings are pruned before they make a row: by sizes; by a sketch of the signatures, of 256 bits at first and of 2048
+   for the classes outside; and by the distances to the pivot, as 1 - similarity is a metric. Outside classes carry
+   their hashed sets, so that what the bounds leave is decided in the join itself and only links become rows. All links
+   are verified on the whole sets of words, made again from the texts.
 6. Components by label propagation with pointer jumping, as joins.
 
 Null or empty text: an empty set, linked with nothing. Fewer words than k: the whole sequence is one shingle. Null
@@ -24,6 +27,7 @@ as one document with each of their sets. Extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +38,11 @@ COORDINATES = 64
 MATCHES = 34
 #: Equal bits of 256 (four of each coordinate) that a linked pair has but for one in 10^6: 64 * (0.8 * 4 + 0.2 * 2) = 230 on average.
 SKETCH_BITS = 188
+#: Pivots of a list.
+STARS = 3
+#: The finer sketch: four bits of each of these coordinates; a linked pair has 1843 of 2048 equal bits on average, deviation 21.
+FINE = 512
+FINE_BITS = 1735
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -80,28 +89,58 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= 256 - SKETCH_BITS)
 
 
+def fine_sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(id, q0..q31, hashes) of (doc_id, text): four bits of each of FINE minima, and the set's hashed shingles."""
+    a, b = stream(24, FINE) | np.uint64(1), stream(25, FINE)
+    weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    names = [f"q{j}" for j in range(FINE // 16)]
+
+    def work(batch):
+        part = column_bytes(batch.column(1))
+        out = {"id": batch.column(0), "hashes": []} | {q: [] for q in names}
+        for lo, hi in chunks(part, 1 << 18):
+            h, at = shingles_of(part[lo:hi], k)
+            full = np.flatnonzero(np.diff(at))
+            minima = np.zeros((hi - lo, FINE), dtype=np.uint64)
+            out["hashes"] += [np.unique(h[at[i] : at[i + 1]]).view(np.int64) for i in range(hi - lo)]
+            for c in range(FINE if len(full) else 0):
+                minima[full, c] = np.minimum.reduceat(h * a[c] + b[c], at[:-1][full])
+            minima = mix(minima)
+            for j, q in enumerate(names):
+                bits = (minima[:, j // 4 * 64 : j // 4 * 64 + 64] >> np.uint64(7 + 11 * (j % 4))) & np.uint64(1)
+                out[q] += (bits * weight).sum(1, dtype=np.uint64).view(np.int64).tolist()
+        return out
+
+    return map_batches(texts.select("doc_id", "text"), work, "id long, hashes array<long>, " + ", ".join(f"{q} long" for q in names))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return materialize(only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), materialize(ids)))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b; materialised) whose whole sets have the similarity; texts come by joins on a and b."""
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = materialize(only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), needed))
+    """(a, b, d, linked) of pairs (a, b; materialised): their whole sets' distance, and whether they have the similarity; texts come by joins on a and b."""
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     of = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
     both = pairs.join(of("b", "tb"), "b").join(of("a", "ta"), "a").select("a", "b", "ta", "tb")
 
     def run(batches):
         last: tuple = (None, set())
         for batch in slices(batches):
-            ta, tb, keep = column_bytes(batch.column(2)), column_bytes(batch.column(3)), []
-            for x, y in zip(ta, tb, strict=True):
+            distance, linked = [], []
+            for x, y in zip(column_bytes(batch.column(2)), column_bytes(batch.column(3)), strict=True):
                 if x != last[0]:
                     last = (x, exact_shingles(x, k))
                 other = exact_shingles(y, k)
                 shared = len(last[1] & other)
-                keep.append(bool(shared) and 100 * shared >= percent * (len(last[1]) + len(other) - shared))
-            import pyarrow as pa
-
-            yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
+                union = len(last[1]) + len(other) - shared
+                distance.append(1 - shared / max(union, 1))
+                linked.append(bool(shared) and 100 * shared >= percent * union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
 
-    return materialize(both.mapInArrow(run, "a long, b long").distinct())
+    found = both.mapInArrow(run, "a long, b long, d double, linked boolean")
+    # a repeated doc_id has several sets: then no one distance holds
+    return materialize(found.groupBy("a", "b").agg(F.when(F.min("d") == F.max("d"), F.min("d")).alias("d"), F.max("linked").alias("linked")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -130,17 +169,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rarer = posted.join(shared, "token").withColumn("rank", rank).where(F.col("rank") >= MATCHES)
     sketch = classes.select("rep", "n", *(f"s{j}" for j in range(4)))
     lists = materialize(rarer.select("token", "rep").join(sketch, "rep"))
-    pivots = lists.groupBy("token").agg(F.min(F.struct("rep", "n", *(f"s{j}" for j in range(4)))).alias("p"), F.count("*").alias("size")).where(F.col("size") > 1).select("token", "p.*")
-    met = lists.alias("x").join(pivots.alias("y"), "token").where((F.col("x.rep") != F.col("y.rep")) & _alike("x", "y", percent))
-    first = materialize(met.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct())
-    links = verified(first, docs, k, percent)
-    # Those of a list that aren't linked to its pivot meet all others of it.
-    to_pivot = lists.alias("x").join(pivots.select("token", F.col("rep").alias("pivot")), "token").where(F.col("rep") != F.col("pivot"))
-    apart = to_pivot.join(links.select(F.col("a").alias("pivot"), F.col("b").alias("rep")), ["pivot", "rep"], "left_anti")
-    apart = materialize(apart.select("token", "rep", "n", *(f"s{j}" for j in range(4))))
-    cross = apart.alias("x").join(lists.alias("y"), "token").where((F.col("x.rep") != F.col("y.rep")) & _alike("x", "y", percent))
-    second = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(verified(materialize(second), docs, k, percent))
+    stars = None
+    for star in range(STARS):
+        order = F.col("rep") if star == 0 else F.xxhash64(F.lit(star), "rep")
+        pivot = F.min(F.struct(order.alias("o"), "rep", "n", *(f"s{j}" for j in range(4)))).alias("p")
+        pivots = lists.groupBy("token").agg(pivot, F.count("*").alias("size")).where(F.col("size") > 1).select("token", "p.rep", "p.n", *(f"p.s{j}" for j in range(4)))
+        met = lists.alias("x").join(pivots.alias("y"), "token").where(F.col("x.rep") != F.col("y.rep"))
+        met = met.select(F.lit(star).alias("star"), F.col("y.rep").alias("pivot"), F.col("x.rep").alias("rep"), _alike("x", "y", percent).alias("alike")).distinct()
+        stars = met if stars is None else stars.union(met.where("alike"))
+    stars = materialize(stars)
+    pair = [F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")]
+    first = materialize(stars.where("alike").select(*pair).distinct())
+    tested = verified(first, docs, k, percent)
+    links = tested.where("linked").select("a", "b")
+    links = links.union(_outside(stars.where("star = 0").select("pivot", "rep"), tested, components(links), sketch, docs, k, percent))
     found = components(links)
     members = base.select("doc_id", "n", "f1", "f2").join(classes.select(*key, "rep"), key, "left")
     members = members.join(found, F.col("rep") == F.col("id"), "left")
@@ -148,6 +190,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return members.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _outside(groups: DataFrame, tested: DataFrame, found: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of the classes of groups (pivot, rep) that aren't in their pivot's component, with others of the group."""
+    label = found.select(F.col("id").alias("rep"), F.col("component").alias("c"))
+    of_pivot = found.select(F.col("id").alias("pivot"), F.col("component").alias("pc"))
+    known = tested.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "d")  # a first pivot is the smallest id of its lists
+    rows = groups.join(label, "rep", "left").join(of_pivot, "pivot", "left").join(known, ["pivot", "rep"], "left")
+    rows = rows.select("pivot", "rep", F.coalesce("c", "rep").alias("c"), F.coalesce("pc", "pivot").alias("pc"), "d")
+    rows = materialize(rows.withColumn("out", F.col("c") != F.col("pc")))
+    open_groups = rows.groupBy("pivot").agg(F.max("out").alias("any"), F.count("*").alias("size")).where("any and size > 1").select("pivot")
+    rows = materialize(rows.join(open_groups, "pivot", "left_semi"))
+    fine = fine_sketches(texts_of(docs, rows.select(F.col("rep").alias("doc_id")).distinct()), k)
+    full = materialize(rows.join(sketch, "rep").join(fine.dropDuplicates(["id"]), F.col("rep") == F.col("id")))
+    x, y = full.where("out").alias("x"), full.alias("y")
+    differ = F.lit(0)
+    for j in range(FINE // 16):
+        differ = differ + F.bit_count(F.col(f"x.q{j}").bitwiseXOR(F.col(f"y.q{j}")))
+    near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    once = ~F.col("y.out") | (F.col("x.rep") < F.col("y.rep"))
+    # last, for those that the bounds leave: the sets themselves, so that only links become rows
+    same = F.size(F.array_intersect("x.hashes", "y.hashes")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    meet = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.rep") != F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & once & near & _alike("x", "y", percent) & (differ <= 4 * FINE - FINE_BITS) & same)
+    pairs = meet.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    return verified(materialize(pairs.join(tested, ["a", "b"], "left_anti")), docs, k, percent).where("linked").select("a", "b")
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs, with all its columns, without the documents that aren't kept."""
     gone = materialize(near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct())
