@@ -13,10 +13,10 @@ Jaccard similarity is at least `percent`/100, and a group is a connected compone
    one first pivot are then taken as one: if all its classes are connected with it, it is done; else each class outside
    the pivot's component meets the others that aren't in its own component. Two linked classes share a first pivot, so
    they are connected already or meet.
-5. Meetings are pruned before they make a row: by sizes; by a sketch of the signatures, of 256 bits at first and of 2048
-   for the classes outside; and by the distances to the pivot, as 1 - similarity is a metric. Classes that
-   the bounds leave carry their hashed sets into a join that decides, so only links become rows. All links
-   are verified on the whole sets of words, made again from the texts.
+5. Meetings are pruned before they make a row: by sizes; by a 256-bit sketch of the signatures; by the distances to the
+   pivot, as 1 - similarity is a metric; and by an odd sketch of ODD_BITS bits, in which each shingle flips one bit, so
+   that two sketches never differ in more bits than the sets differ in shingles. What is left is verified on the whole
+   sets of words, made again from the texts.
 6. Components by label propagation with pointer jumping, as joins.
 
 Null or empty text: an empty set, linked with nothing. Fewer words than k: the whole sequence is one shingle. Null
@@ -40,9 +40,8 @@ MATCHES = 34
 SKETCH_BITS = 188
 #: Pivots of a list.
 STARS = 3
-#: The finer sketch: four bits of each of these coordinates; a linked pair has 1843 of 2048 equal bits on average, deviation 21.
-FINE = 512
-FINE_BITS = 1735
+#: Bits of the odd sketches.
+ODD_BITS = 2048
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -89,42 +88,25 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= 256 - SKETCH_BITS)
 
 
-def fine_sketches(texts: DataFrame, k: int) -> DataFrame:
-    """(id, n, q0..q31) of (doc_id, text): the set's size and four bits of each of FINE minima."""
-    a, b = stream(24, FINE) | np.uint64(1), stream(25, FINE)
+def odd_sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(id, n, q0..q31) of (doc_id, text): the set's size and its odd sketch."""
+    names = [f"q{j}" for j in range(ODD_BITS // 64)]
     weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    names = [f"q{j}" for j in range(FINE // 16)]
 
     def work(batch):
         part = column_bytes(batch.column(1))
-        out = {"id": batch.column(0), "n": []} | {q: [] for q in names}
-        for lo, hi in chunks(part, 1 << 18):
-            h, at = shingles_of(part[lo:hi], k)
-            full = np.flatnonzero(np.diff(at))
-            minima = np.zeros((hi - lo, FINE), dtype=np.uint64)
-            out["n"] += [len(np.unique(h[at[i] : at[i + 1]])) for i in range(hi - lo)]
-            for c in range(FINE if len(full) else 0):
-                minima[full, c] = np.minimum.reduceat(h * a[c] + b[c], at[:-1][full])
-            minima = mix(minima)
-            for j, q in enumerate(names):
-                bits = (minima[:, j // 4 * 64 : j // 4 * 64 + 64] >> np.uint64(7 + 11 * (j % 4))) & np.uint64(1)
-                out[q] += (bits * weight).sum(1, dtype=np.uint64).view(np.int64).tolist()
-        return out
-
-    return map_batches(texts.select("doc_id", "text"), work, "id long, n long, " + ", ".join(f"{q} long" for q in names))
-
-
-def hashed_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(id, hashes) of (doc_id, text)."""
-
-    def work(batch):
-        part, sets = column_bytes(batch.column(1)), []
+        n, rows = [], []
         for lo, hi in chunks(part):
             h, at = shingles_of(part[lo:hi], k)
-            sets += [np.unique(h[at[i] : at[i + 1]]).view(np.int64) for i in range(hi - lo)]
-        return {"id": batch.column(0), "hashes": sets}
+            for i in range(hi - lo):
+                mine = np.unique(h[at[i] : at[i + 1]])
+                n.append(len(mine))
+                odd = np.bincount((mix(mine + np.uint64(3)) % np.uint64(ODD_BITS)).astype(np.int64), minlength=ODD_BITS).astype(np.uint64) & np.uint64(1)
+                rows.append((odd.reshape(-1, 64) * weight).sum(1, dtype=np.uint64).view(np.int64))
+        table = np.array(rows).reshape(len(part), -1)
+        return {"id": batch.column(0), "n": n} | {q: table[:, j] for j, q in enumerate(names)}
 
-    return map_batches(texts.select("doc_id", "text"), work, "id long, hashes array<long>")
+    return map_batches(texts.select("doc_id", "text"), work, "id long, n long, " + ", ".join(f"{q} long" for q in names))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -195,7 +177,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = materialize(stars.where("alike").select(*pair).distinct())
     tested = verified(first, docs, k, percent)
     links = tested.where("linked").select("a", "b")
-    links = links.union(_outside(stars.where("star = 0").select("pivot", "rep"), tested, components(links), docs, k, percent))
+    links = links.union(_outside(stars.where("star = 0").select("pivot", "rep"), tested, components(links), sketch, docs, k, percent))
     found = components(links)
     members = base.select("doc_id", "n", "f1", "f2").join(classes.select(*key, "rep"), key, "left")
     members = members.join(found, F.col("rep") == F.col("id"), "left")
@@ -203,7 +185,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return members.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _outside(groups: DataFrame, tested: DataFrame, found: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _outside(groups: DataFrame, tested: DataFrame, found: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) of the classes of groups (pivot, rep) that aren't in their pivot's component, with others of the group."""
     label = found.select(F.col("id").alias("rep"), F.col("component").alias("c"))
     of_pivot = found.select(F.col("id").alias("pivot"), F.col("component").alias("pc"))
@@ -213,23 +195,16 @@ def _outside(groups: DataFrame, tested: DataFrame, found: DataFrame, docs: DataF
     rows = materialize(rows.withColumn("out", F.col("c") != F.col("pc")))
     open_groups = rows.groupBy("pivot").agg(F.max("out").alias("any"), F.count("*").alias("size")).where("any and size > 1").select("pivot")
     rows = materialize(rows.join(open_groups, "pivot", "left_semi"))
-    texts = texts_of(docs, rows.select(F.col("rep").alias("doc_id")).distinct())
-    rows = materialize(rows.join(fine_sketches(texts, k), F.col("rep") == F.col("id")).drop("id"))
+    odd = odd_sketches(texts_of(docs, rows.select(F.col("rep").alias("doc_id")).distinct()), k)
+    rows = materialize(rows.join(odd, F.col("rep") == F.col("id")).drop("id").join(sketch.drop("n"), "rep"))
+    x, y = rows.where("out").alias("x"), rows.alias("y")
     differ = F.lit(0)
-    for j in range(FINE // 16):
+    for j in range(ODD_BITS // 64):
         differ = differ + F.bit_count(F.col(f"x.q{j}").bitwiseXOR(F.col(f"y.q{j}")))
     near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    may = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.rep") != F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & sizes & near & (differ <= 4 * FINE - FINE_BITS)
-    # Semi-joins tell which classes the bounds leave; only these carry their sets, and only links become rows.
-    x = materialize(rows.where("out").alias("x").join(rows.alias("y"), may, "left_semi"))
-    y = materialize(rows.alias("y").join(x.alias("x"), may, "left_semi"))
-    left = x.select("rep").union(y.select("rep")).distinct()
-    sets = materialize(hashed_sets(only(texts, materialize(left.select(F.col("rep").alias("doc_id")))), k))
-    x, y = (t.join(sets, F.col("rep") == F.col("id")) for t in (x, y))
     once = ~F.col("y.out") | (F.col("x.rep") < F.col("y.rep"))
-    same = F.size(F.array_intersect("x.hashes", "y.hashes")) * (100 + percent) >= (F.size("x.hashes") + F.size("y.hashes")) * percent
-    meet = x.alias("x").join(y.alias("y"), may & once & same)
+    may = (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") != F.col("y.rep")) & once & near & _alike("x", "y", percent)
+    meet = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & may & (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)))
     pairs = meet.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     return verified(materialize(pairs.join(tested, ["a", "b"], "left_anti")), docs, k, percent).where("linked").select("a", "b")
 
