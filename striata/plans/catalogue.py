@@ -1,9 +1,107 @@
-"""The driver's queries."""
+"""The driver's queries, each with SQL that says the same."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import encodings, logical
+from ..operators import limit, sink
+from ..sources import colmeta, scan
+from ..session import configured
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _read(spark: SparkSession, d: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    return scan.scan(spark, f"{d}/{name}.parquet", columns)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return sink.lines(limit.first_rows(configured(spark), f"{d}/nation.parquet", 10, ["n_name", "n_nationkey"]), "json")
+
+
+def _days(table: DataFrame) -> DataFrame:
+    return table.select("o_orderkey", F.unix_date(F.col("o_orderdate").cast("date")).alias("days"))
+
+
+def _unscaled(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "orders", ["o_orderkey", "o_totalprice"]).select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("x"))
+
+
+def _meta(level: str, drop: tuple[str, ...] = ("file",)) -> Query:
+    return lambda s, d: colmeta.metadata(s, f"{d}/nation.parquet", level).drop(*drop)
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {f"scan_all_{t}": (lambda s, d, t=t: _read(s, d, t)) for t in TABLES}
+    keys = lambda s, d: _read(s, d, "orders", ["o_orderkey"])
+    ts = lambda s, d: _read(s, d, "events", ["event_id", "ts"]).select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    out |= {
+        "project_reorder": lambda s, d: _read(s, d, "nation", ["n_name", "n_nationkey"]),
+        "project_all_empty": lambda s, d: _read(s, d, "region", []),
+        "limit_ordered": lambda s, d: limit.first_rows(s, f"{d}/nation.parquet", 7),
+        "null_merge": lambda s, d: _read(s, d, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"]).select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).alias("q")),
+        "null_count": lambda s, d: _read(s, d, "lineitem", ["l_linenumber"]).agg(F.count_if(F.when(F.col("l_linenumber") % 2 == 0, 1).isNull()).alias("nulls")),
+        "ct_date_spec": lambda s, d: _days(_read(s, d, "orders")).select("o_orderkey", logical.date(F.col("days")).cast("string").alias("v")),
+        "ct_date_ordinal_compat": lambda s, d: _days(_read(s, d, "orders")).select("o_orderkey", logical.compat_date(logical.date(F.col("days"))).cast("string").alias("v")),
+        "ct_decimal_spec": lambda s, d: _unscaled(s, d).select("o_orderkey", logical.decimal(F.col("x"), 2).alias("v")),
+        "ct_decimal_compat": lambda s, d: _unscaled(s, d).select("o_orderkey", logical.compat_decimal(logical.decimal(F.col("x"), 2), 2).alias("v")),
+        "ct_decimal_bytes": lambda s, d: _unscaled(s, d).select("o_orderkey", logical.decimal_of_bytes(F.unhex(F.lpad(F.hex("x"), 16, "0")), 2).cast("decimal(18,2)").alias("v")),
+        **{f"ct_uint{b}": (lambda s, d, b=b: keys(s, d).select("o_orderkey", logical.unsigned(-F.col("o_orderkey"), b).alias("v"))) for b in (8, 16, 32, 64)},
+        "ct_time_millis_us": lambda s, d: ts(s, d).select("event_id", logical.time_millis_micros(F.col("ms") % 86_400_000).alias("v")),
+        "ct_timestamp_millis": lambda s, d: ts(s, d).select("event_id", F.unix_micros(logical.timestamp_millis(F.col("ms"))).alias("v")),
+        "ct_utf8": lambda s, d: _read(s, d, "documents", ["doc_id", "text"]).select("doc_id", logical.utf8(F.encode("text", "UTF-8")).alias("v")),
+        "ct_json": lambda s, d: _read(s, d, "events", ["event_id", "props"]).select("event_id", F.variant_get(logical.json_value(F.col("props")), "$.k", "int").alias("v")),
+        "ct_int96_raw": lambda s, d: keys(s, d).select("o_orderkey", logical.int96_raw(F.unhex(F.concat(*(F.substring(F.lpad(F.hex("o_orderkey"), 16, "0"), i, 2) for i in range(15, 0, -2)), F.lit("03000000")))).alias("v")),
+        "enc_bit_width": lambda s, d: keys(s, d).select("o_orderkey", encodings.bit_width_of(F.col("o_orderkey")).alias("v")),
+        "enc_float_widen": lambda s, d: _read(s, d, "events", ["event_id", "value"]).select("event_id", F.col("value").cast("float").cast("double").alias("v")),
+        "enc_plain_int64": lambda s, d: keys(s, d).select("o_orderkey", encodings.decode_plain(F.unhex(F.concat(*(F.substring(F.lpad(F.hex("o_orderkey"), 16, "0"), i, 2) for i in range(15, 0, -2)))), "INT64", 1)[0].alias("v")),
+        "sink_tsv": lambda s, d: sink.lines(_read(s, d, "nation"), "csv"),
+        "sink_json": lambda s, d: sink.lines(_read(s, d, "nation"), "json"),
+        "meta_file": _meta("file", ("file", "version")),
+        "meta_schema": _meta("schema", ("file", "converted_type", "logical_type", "type_length")),
+        "meta_row_group": _meta("row_group"),
+        "meta_chunk": _meta("chunk", ("file", "encodings", "dictionary_page_offset", "data_page_offset", "start_offset")),
+        "meta_page": _meta("page"),
+    }
+    return {name: (lambda s, d, f=f: f(configured(s), d)) for name, f in out.items()}
+
+
+_NATION = "/root/testdata/sf0.01/nation.parquet"
+
+
+def oracle_sql() -> dict[str, str]:
+    modulus = lambda m: f"SELECT o_orderkey, ((-o_orderkey) % {m} + {m}) % {m} AS v FROM orders"
+    return {f"scan_all_{t}": f"SELECT * FROM {t}" for t in TABLES} | {
+        "project_reorder": "SELECT n_name, n_nationkey FROM nation",
+        "project_all_empty": "SELECT * FROM region",
+        "limit_ordered": "SELECT * FROM nation ORDER BY n_nationkey LIMIT 7",
+        "null_merge": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS q FROM lineitem",
+        "null_count": "SELECT count(*) FILTER (l_linenumber % 2 <> 0) AS nulls FROM lineitem",
+        "ct_date_spec": "SELECT o_orderkey, strftime(o_orderdate::DATE, '%Y-%m-%d') AS v FROM orders",
+        "ct_date_ordinal_compat": "SELECT o_orderkey, strftime(o_orderdate::DATE - 719163, '%Y-%m-%d') AS v FROM orders",
+        "ct_decimal_spec": "SELECT o_orderkey, CAST(round(o_totalprice * 100) / 100.0 AS DECIMAL(18,2)) AS v FROM orders",
+        "ct_decimal_compat": "SELECT o_orderkey, CAST(round(o_totalprice * 100) / 10.0 AS DECIMAL(18,2)) AS v FROM orders",
+        "ct_decimal_bytes": "SELECT o_orderkey, CAST(round(o_totalprice * 100) / 100.0 AS DECIMAL(18,2)) AS v FROM orders",
+        "ct_uint8": modulus(256),
+        "ct_uint16": modulus(65536),
+        "ct_uint32": modulus(4294967296),
+        "ct_uint64": "SELECT o_orderkey, CAST((18446744073709551616::HUGEINT - o_orderkey) % 18446744073709551616::HUGEINT AS DECIMAL(20,0)) AS v FROM orders",
+        "ct_time_millis_us": "SELECT event_id, (epoch_us(ts) // 1000 % 86400000) * 1000 AS v FROM events",
+        "ct_timestamp_millis": "SELECT event_id, epoch_us(date_trunc('millisecond', ts)) AS v FROM events",
+        "ct_utf8": "SELECT doc_id, text AS v FROM documents",
+        "ct_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS v FROM events",
+        "ct_int96_raw": "SELECT o_orderkey, CAST(o_orderkey::HUGEINT * 4294967296 + 3 AS DECIMAL(38,0)) AS v FROM orders",
+        "enc_bit_width": "SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 0 ELSE length(bin(o_orderkey)) END AS v FROM orders",
+        "enc_float_widen": "SELECT event_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM events",
+        "enc_plain_int64": "SELECT o_orderkey, o_orderkey AS v FROM orders",
+        "sink_tsv": "SELECT concat_ws(chr(9), n_nationkey, n_name, n_regionkey) AS line FROM nation",
+        "sink_json": "SELECT CAST(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey}) AS VARCHAR) AS line FROM nation",
+        "meta_file": f"SELECT created_by, num_rows, CAST(num_row_groups AS INTEGER) AS num_row_groups, CAST((SELECT count(*) FROM parquet_metadata('{_NATION}') WHERE row_group_id = 0) AS INTEGER) AS num_columns, footer_size FROM parquet_file_metadata('{_NATION}')",
+        "meta_row_group": f"SELECT CAST(row_group_id AS INTEGER) AS row_group, max(row_group_num_rows) AS num_rows, max(row_group_bytes) AS total_byte_size, CAST(count(*) AS INTEGER) AS num_columns FROM parquet_metadata('{_NATION}') GROUP BY row_group_id",
+        "meta_chunk": f"SELECT CAST(row_group_id AS INTEGER) AS row_group, CAST(column_id AS INTEGER) AS \"column\", path_in_schema AS path, type AS physical_type, compression AS codec, num_values, stats_null_count AS null_count, total_uncompressed_size AS uncompressed_bytes, total_compressed_size AS compressed_bytes FROM parquet_metadata('{_NATION}')",
+    }
