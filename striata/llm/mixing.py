@@ -3,6 +3,8 @@
 The sources' documents stand in queues, each shuffled by a hash, and repeated up to MOST_EPOCHS times. A copy's virtual
 finish time is the words of its source up to its own end, divided by the source's target. The copies of all sources,
 ordered by finish time, are taken until the budget is reached: the mix ends with the last copy that doesn't exceed it.
+A copy whose source has reached its target before it isn't queued, so words that one source can't give (its next
+document is longer than what is left) don't go to others beyond their targets.
 
 Nothing is sorted in one place: a source's running sum adds a window inside each (source, hash range) to the sums of the
 ranges before it, and the global order is ranges of finish time, of which only the one that holds the end is sorted.
@@ -107,10 +109,15 @@ def _finish(epoch: int):
     return F.when(F.col("target") > 0, (F.col("end") + epoch * F.col("source_size")) / F.col("target"))
 
 
+def _queued(epoch: int):
+    """A copy's source hasn't reached its target before it."""
+    return F.col("end") + epoch * F.col("source_size") - F.col("size") < F.col("target")
+
+
 def _take(queued: DataFrame, budget: int, most: int):
     """The taken words as an expression: a copy is in if it stands before the end of the mix."""
     counted = queued.where((F.col("size") > 0) & (F.col("target") > 0))
-    copies = counted.withColumn("t", F.explode(F.array(*(_finish(e) for e in range(most)))))
+    copies = counted.withColumn("t", F.explode(F.array(*(F.when(_queued(e), _finish(e)) for e in range(most))))).where("t is not null")
     # Finish times over 0, divided in ranges by t / (1 + t), which is below 1.
     place = F.floor(F.col("t") / (1 + F.col("t")) * TIME_RANGES)
     by_range = copies.groupBy(place.alias("place")).agg(F.sum("size").alias("words")).collect()  # TIME_RANGES rows at most
@@ -121,7 +128,7 @@ def _take(queued: DataFrame, budget: int, most: int):
             break
         start += r.words
     if cut is None:
-        return F.when(F.col("target") > 0, F.col("size") * most).otherwise(0)
+        return sum((F.when(_queued(e), F.col("size")).otherwise(0) for e in range(1, most)), F.when(_queued(0), F.col("size")).otherwise(0)).cast("long")
     order = Window.orderBy("t", "rank", "hash", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     last = copies.where(place == cut).withColumn("sum", F.sum("size").over(order)).where(F.col("sum") <= budget - start)
     end = last.orderBy(F.desc("t"), F.desc("rank"), F.desc("hash"), F.desc("doc_id"), F.desc("row")).select("t", "rank", "hash", "doc_id", "row").first()
@@ -137,5 +144,5 @@ def _take(queued: DataFrame, budget: int, most: int):
                 later = later | (same & (mine < F.lit(its)))
                 same = same & (mine == F.lit(its))
             inside = inside | ((spot == cut) & (later | same))
-        whole = whole + F.when(inside, F.col("size")).otherwise(0)
+        whole = whole + F.when(inside & _queued(e), F.col("size")).otherwise(0)
     return whole.cast("long")
