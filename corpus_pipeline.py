@@ -37,7 +37,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: The classifiers' scores have no SQL. Tests check the stages' columns and that rows remain; the operators have their own tests.
+#: The classifiers' scores have no SQL; tests/llm/test_pipeline.py holds run() against a brute-force version instead.
 ORACLE_SQL = None
 
 
