@@ -7,7 +7,8 @@ A copy whose source has reached its target before it isn't queued, so words that
 document is longer than what is left) don't go to others beyond their targets.
 
 Nothing is sorted in one place: a source's running sum adds a window inside each (source, hash range) to the sums of the
-ranges before it, and the global order is ranges of finish time, of which only the one that holds the end is sorted.
+ranges before it, and the global order is ranges of finish time, of which only the one that holds the end is looked into;
+while it holds more than SORT_ROWS copies, it is divided by ranges of the whole key again.
 
 Sizes: white-space words (space, \\x09-\\x0D); null or empty text: 0, never taken. Null source: a source of its own, last.
 Equal finish times: smaller source rank, then hash, then doc_id first. Repeated rows: each is a document of its own; rows
@@ -29,6 +30,8 @@ MOST_EPOCHS = 3
 #: Documents that one window holds, about; ranges of finish time.
 WINDOW_ROWS = 4096
 TIME_RANGES = 1 << 16
+#: Copies around the end of the mix that one task sorts.
+SORT_ROWS = 200_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -79,12 +82,12 @@ def with_targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -
     return rows.withColumn("target", F.least("limit", level * F.col("weight")))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: int = 17, sort_rows: int = SORT_ROWS) -> DataFrame:
     """row, doc_id, source, size, source_size, target, taken for each row of docs (doc_id, source, text)."""
-    return mix_sized(materialize(sized(docs)), weights, most, seed)
+    return mix_sized(materialize(sized(docs)), weights, most, seed, sort_rows)
 
 
-def mix_sized(rows: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: int = 17) -> DataFrame:
+def mix_sized(rows: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: int = 17, sort_rows: int = SORT_ROWS) -> DataFrame:
     sources = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     targets = materialize(with_targets(ranked(sources.drop("n")), weights, most))
     total = sources.agg(F.sum("n"), F.sum("source_size")).first()
@@ -100,7 +103,7 @@ def mix_sized(rows: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: i
     inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("hash", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
     at = keyed.withColumn("inside", inside).join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     queued = materialize(at.select("row", "doc_id", "source", "size", "source_size", "target", "rank", "hash", (F.col("before") + F.col("inside")).alias("end")))
-    taken = _take(queued, int(total[1]), most)
+    taken = _take(queued, int(total[1]), most, sort_rows)
     return queued.select("row", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
@@ -114,35 +117,57 @@ def _queued(epoch: int):
     return F.col("end") + epoch * F.col("source_size") - F.col("size") < F.col("target")
 
 
-def _take(queued: DataFrame, budget: int, most: int):
-    """The taken words as an expression: a copy is in if it stands before the end of the mix."""
+#: The global order of copies. Ascending nulls (doc_id) stand first.
+ORDER = ("t", "rank", "hash", "doc_id", "row")
+
+
+def _take(queued: DataFrame, budget: int, most: int, sort_rows: int):
+    """The taken words as an expression: a copy is in if it stands before the first one that exceeds the budget."""
     counted = queued.where((F.col("size") > 0) & (F.col("target") > 0))
     copies = counted.withColumn("t", F.explode(F.array(*(F.when(_queued(e), _finish(e)) for e in range(most))))).where("t is not null")
     # Finish times over 0, divided in ranges by t / (1 + t), which is below 1.
     place = F.floor(F.col("t") / (1 + F.col("t")) * TIME_RANGES)
-    by_range = copies.groupBy(place.alias("place")).agg(F.sum("size").alias("words")).collect()  # TIME_RANGES rows at most
-    start, cut = 0, None
-    for r in sorted(by_range):
-        if start + r.words > budget:
-            cut = r.place
-            break
-        start += r.words
+    by_range = copies.groupBy(place.alias("part")).agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()  # TIME_RANGES rows at most
+    cut = _crossing(by_range, budget)
     if cut is None:
         return sum((F.when(_queued(e), F.col("size")).otherwise(0) for e in range(1, most)), F.when(_queued(0), F.col("size")).otherwise(0)).cast("long")
-    order = Window.orderBy("t", "rank", "hash", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    last = copies.where(place == cut).withColumn("sum", F.sum("size").over(order)).where(F.col("sum") <= budget - start)
-    end = last.orderBy(F.desc("t"), F.desc("rank"), F.desc("hash"), F.desc("doc_id"), F.desc("row")).select("t", "rank", "hash", "doc_id", "row").first()
+    spot, n, left = cut
+    stop = _first_beyond(copies.where(place == spot).select(*ORDER, "size"), n, left, sort_rows)
     whole = F.lit(0)
     for e in range(most):
-        t = _finish(e)
-        spot = F.floor(t / (1 + t) * TIME_RANGES)
-        inside = spot < cut
-        if end is not None:
-            same = F.lit(True)
-            later = F.lit(False)
-            for mine, its in ((t, end.t), (F.col("rank"), end["rank"]), (F.col("hash"), end.hash), (F.coalesce(F.col("doc_id"), F.lit(-(2**63))), end.doc_id if end.doc_id is not None else -(2**63)), (F.col("row"), end.row)):
-                later = later | (same & (mine < F.lit(its)))
-                same = same & (mine == F.lit(its))
-            inside = inside | ((spot == cut) & (later | same))
-        whole = whole + F.when(inside & _queued(e), F.col("size")).otherwise(0)
+        whole = whole + F.when(_queued(e) & _before(stop, _finish(e)), F.col("size")).otherwise(0)
     return whole.cast("long")
+
+
+def _crossing(parts, budget: int):
+    """Of (part, words, n) the part in which the running sum of words exceeds the budget, its n, and the budget left for it; or None."""
+    for r in sorted(parts):
+        if r.words > budget:
+            return r.part, r.n, budget
+        budget -= r.words
+    return None
+
+
+def _first_beyond(copies: DataFrame, n: int, budget: int, sort_rows: int):
+    """The first of n copies, in ORDER, at which the running sum of sizes exceeds the budget (their sum does).
+
+    More than sort_rows copies are divided by ranges of ORDER, of which again only the crossing one is looked into: the
+    whole key divides them, so copies of equal finish time never meet in one task.
+    """
+    while n > sort_rows:
+        ranges = min(1024, -(-4 * n // sort_rows))
+        parts = materialize(copies.repartitionByRange(ranges, *ORDER).withColumn("part", F.spark_partition_id()))
+        sums = parts.groupBy("part").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()  # a row for each range
+        part, n, budget = _crossing(sums, budget)
+        copies = parts.where(F.col("part") == part).drop("part")
+    order = Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    return copies.withColumn("sum", F.sum("size").over(order)).where(F.col("sum") > budget).orderBy(*ORDER).select(*ORDER).first()
+
+
+def _before(stop, t):
+    """A copy of finish time t stands before stop."""
+    before, same = F.lit(False), F.lit(True)
+    least = -(2**63)
+    for mine, its in ((t, stop.t), (F.col("rank"), stop["rank"]), (F.col("hash"), stop.hash), (F.coalesce(F.col("doc_id"), F.lit(least)), least if stop.doc_id is None else stop.doc_id), (F.col("row"), stop.row)):
+        before, same = before | (same & (mine < F.lit(its))), same & (mine == F.lit(its))
+    return before

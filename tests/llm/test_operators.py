@@ -146,6 +146,14 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_divides_equal_finish_times(spark):
+    """A source for each document: whole blocks of copies finish at the same time, and the cut falls among them."""
+    df = frame(spark, [(i, words(3 + i % 2, i), f"s{i:04}") for i in range(600)])
+    got = sorted(map(tuple, mixing.mix(df, most=2).select("doc_id", "taken").collect()))
+    assert got == sorted(map(tuple, mixing.mix(df, most=2, sort_rows=16).select("doc_id", "taken").collect()))
+    assert 0 < sum(t for _, t in got) <= sum(3 + i % 2 for i in range(600))
+
+
 def test_top_k(spark):
     r = np.random.RandomState(5)
     x = [(i, r.randn(8).tolist()) for i in range(400)] + [(50, r.randn(8).tolist()), (900, [0.1] * 8), (901, [0.1] * 8), (100_000, [1.0, 2.0])]
