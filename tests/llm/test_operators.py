@@ -147,13 +147,26 @@ def test_mixing(spark):
 
 
 def test_mixing_divides_equal_finish_times(spark):
-    """A source for each document: whole blocks of copies finish at the same time, and the cut falls among them."""
+    """A source for each document: whole blocks of copies finish at the same time."""
     df = frame(spark, [(i, words(3 + i % 2, i), f"s{i:04}") for i in range(600)])
     got = sorted(map(tuple, mixing.mix(df, most=2).select("doc_id", "taken").collect()))
     assert got == sorted(map(tuple, mixing.mix(df, most=2, sort_rows=16).select("doc_id", "taken").collect()))
     assert 0 < sum(t for _, t in got) <= sum(3 + i % 2 for i in range(600))
 
 
+@pytest.mark.parametrize("budget", [0, 400, 1700])
+def test_mixing_cuts_among_equal_finish_times(spark, budget):
+    rows = [(0.5, i % 2, i * 7919 % 11, None if i % 4 == 0 else i % 50, i, 1 + i % 6) for i in range(500)]
+    want, total = None, 0
+    for r in sorted(rows, key=lambda r: (*r[:3], -1 if r[3] is None else r[3], r[4])):
+        total += r[5]
+        if total > budget:
+            want = r[:5]
+            break
+    df = spark.createDataFrame(rows, "t double, rank long, hash long, doc_id long, row long, size long")
+    assert {tuple(mixing._first_beyond(df, 500, budget, limit)) for limit in (16, 1000)} == {want}
+
+
 def test_top_k(spark):
     r = np.random.RandomState(5)
     x = [(i, r.randn(8).tolist()) for i in range(400)] + [(50, r.randn(8).tolist()), (900, [0.1] * 8), (901, [0.1] * 8), (100_000, [1.0, 2.0])]
