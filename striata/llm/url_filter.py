@@ -69,12 +69,12 @@ def grams(rows: DataFrame) -> DataFrame:
     return rows.withColumn("gram", F.explode(F.transform(places, lambda i: F.substring("signs", i, F.lit(ORDER + 1)))))
 
 
-def model(trained: DataFrame) -> DataFrame:
-    """(gram, ratio) from (signs, blocked): log2 of the blocked over the allowed model's probability, for each gram seen at the fit.
+def model(rows: DataFrame) -> DataFrame:
+    """(gram, ratio) from (signs, blocked): log2 of the blocked over the allowed model's probability, for each gram of rows.
 
-    Every order's counts are sums over the bounded table of gram counts, which one pre-aggregated shuffle makes.
+    Rows with a null in blocked don't train: their grams count 0, so one that training never saw backs off to shorter contexts. Every order's counts are sums over the bounded table of gram counts, which one pre-aggregated shuffle makes.
     """
-    seen = materialize(grams(trained).groupBy("gram").agg(*(F.sum(F.when(F.col("blocked") == bool(b), 1).otherwise(0)).cast("double").alias(f"n{b}") for b in (0, 1))))
+    seen = materialize(grams(rows).groupBy("gram").agg(*(F.sum(F.when(F.col("blocked") == bool(b), 1).otherwise(0)).cast("double").alias(f"n{b}") for b in (0, 1))))
     out = seen.select("gram", *(F.lit(1.0 / ALPHABET).alias(f"p{b}") for b in (0, 1)))
     for k in range(ORDER + 1):
         tail, context = F.substring("gram", ORDER + 1 - k, k + 1), F.substring("gram", ORDER + 1 - k, k)
@@ -87,8 +87,8 @@ def model(trained: DataFrame) -> DataFrame:
 
 
 def with_ratio(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """(row, ratio): the mean over a row's signs; a gram that the fit never saw tells nothing (0)."""
-    return grams(rows).join(F.broadcast(fitted), "gram", "left").groupBy("row").agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("ratio"))
+    """(row, ratio): the mean over a row's signs; fitted has all their grams."""
+    return grams(rows).join(F.broadcast(fitted), "gram").groupBy("row").agg(F.avg("ratio").alias("ratio"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -96,13 +96,13 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rows = materialize(pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("signs", reduced(F.concat("host", "path")))
-    trained = ruled.where(F.col("by_rule").isNotNull()).withColumn("blocked", F.col("by_rule") == "block")
+    ruled = rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("signs", reduced(F.concat("host", "path"))).withColumn("blocked", F.col("by_rule") == "block")
+    trained = ruled.where(F.col("by_rule").isNotNull())
     groups = {r.blocked for r in trained.groupBy("blocked").count().collect()}
     free = ruled.where(F.col("by_rule").isNull())
     if groups != {True, False}:
         return ruled.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("log_ratio"))
-    fitted = model(trained)
+    fitted = model(ruled.select("signs", "blocked"))
     known = with_ratio(trained.select("row", "signs"), fitted).join(trained.select("row", "blocked"), "row")
     spread = {r.blocked: (r.m, r.s) for r in known.groupBy("blocked").agg(F.avg("ratio").alias("m"), F.stddev_pop("ratio").alias("s")).collect()}
     if set(spread) == {True, False}:

@@ -68,6 +68,30 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_model_against_brute_force(spark):
+    urls = [f"http://s{i}.com/de/{'ab' * (i % 4)}{i}" for i in range(30)] + [f"http://t{i}.net/es/{'ca' * (i % 3)}{i}" for i in range(20)]
+    free = ["http://s7.org/de/abca", "http://quux.org/zz/vwxyz", "http://t8.org/es/8"]
+    pages = spark.createDataFrame(list(enumerate(urls + free)), "page_id long, url string")
+    order, counts = url_filter.ORDER, (collections.Counter(), collections.Counter())
+    signs = lambda u: "^" * order + "".join("0" if c.isdigit() else c for c in u.removeprefix("http://"))
+    for u in urls:
+        s = signs(u)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts[".net" in u].update([("tail", s[i - k : i + 1]), ("context", k, s[i - k : i])])
+
+    def p(n, context, c):
+        lower = p(n, context[1:], c) if context else 1 / url_filter.ALPHABET
+        return (n["tail", context + c] + url_filter.STRENGTH * lower) / (n["context", len(context), context] + url_filter.STRENGTH)
+
+    got = {r.page_id: r.log_ratio for r in url_filter.filter_urls(pages).collect() if r.rule is None}
+    assert len(got) == len(free)
+    for j, u in enumerate(free):
+        s = signs(u)
+        ratios = [math.log2(p(counts[1], s[i - order : i], s[i]) / p(counts[0], s[i - order : i], s[i])) for i in range(order, len(s))]
+        assert got[len(urls) + j] == pytest.approx(np.mean(ratios), rel=1e-9)
+
+
 def test_language_model(spark):
     rows = odd_rows() + [(i, words(80, i % 7), "a") for i in range(30, 60)]
     got = language_model.score(frame(spark, rows)).collect()
