@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of (at most two) longs that may be broadcast: 2 million, about 60 MB in a hash table.
 BROADCAST_ROWS = 2_000_000
-#: Bytes of text that one vectorised step takes at once (a longer single text is one step).
+#: Bytes of text that one vectorised step takes at once; longer texts are taken in pieces.
 CHUNK = 1 << 20
 
 
@@ -22,12 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder that the cluster names; where none is named (tests), one in the warehouse, which all executors share too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="scratch-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -37,7 +37,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more (what was made of them is materialised itself)."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -47,7 +57,37 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of docs whose doc_id is (left_semi) or isn't (left_anti) in ids, a materialised one-column table."""
-    return docs.join(small(ids), "doc_id", how)
+    return docs.join(small(ids), "doc_id", how).select(*docs.columns)
+
+
+#: A key is heavy with more than this many rows and more than 1 / HEAVY_KEYS of all: so at most HEAVY_KEYS are.
+HEAVY_ROWS = 256
+HEAVY_KEYS = 10_000
+
+
+def heavy_keys(sizes: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, salts) of the heavy ones among sizes (keys, n), at most HEAVY_KEYS rows; or None."""
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    least = max(HEAVY_ROWS, (total or 0) // HEAVY_KEYS)
+    if (most or 0) <= least:
+        return None
+    rows = sizes.where(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("salts"))
+    return sizes.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def sizes_of(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def heavy_join(big: DataFrame, small_side: DataFrame, keys: list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """big joined with small_side, which holds a key once; rows of a heavy key are dealt to several tasks by a hash of the whole row."""
+    if heavy is None:
+        return big.join(small_side, keys, how)
+    heavy = F.broadcast(heavy)  # HEAVY_KEYS rows at most
+    salts = F.coalesce("salts", F.lit(1))
+    left = big.join(heavy, keys, "left").withColumn("salt", F.pmod(F.xxhash64(*big.columns), salts).cast("int")).drop("salts")
+    right = small_side.join(heavy, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [*keys, "salt"], how).drop("salt")
 
 
 def column_bytes(column: pa.Array) -> list[bytes]:
@@ -97,27 +137,14 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix(np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_BYTES = stream(1, 256)
-_P = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2**64, kept for the next chunk."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + (CHUNK >> 1))
-        factors = np.full(size, base & (2**64 - 1), dtype=np.uint64)
-        factors[0] = 1
-        _powers[base] = have = np.cumprod(factors, dtype=np.uint64)
-    return have[:n]
-
-
-_P_INVERSE = pow(_P, -1, 1 << 64)
-
 #: White space of the contracts: space and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SPACE = re.compile(rb"[ \t-\r]")
+#: Shingles that are made at once.
+BLOCK = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
 def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -132,42 +159,110 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the white-space words of all texts (A-Z lowered), in order, and where each text's words begin (with an end)."""
+def pieces(text: bytes, limit: int = CHUNK) -> Iterator[bytes]:
+    """text, cut at white space into pieces of about limit bytes: none holds a part of a word."""
+    at = 0
+    while len(text) - at > limit:
+        cut = _SPACE.search(text, at + limit)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def _word_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at starts: eight bytes at a time are mixed in by a bijection; long words by XXH3."""
+    lanes = np.ndarray((len(data) + 1,), dtype="<u8", buffer=data + bytes(8), strides=(1,))
+    keep = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
+    h = mix(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    live = np.flatnonzero(sizes <= LONG_WORD)
+    at = 0
+    while len(live):
+        lane = lanes[starts[live] + at] & keep[np.minimum(sizes[live] - at, 8)]
+        h[live] = mix(h[live] ^ lane) * np.uint64(0xD6E8FEB86659FD93)
+        at += 8
+        live = live[sizes[live] > at]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return h
+
+
+def _words(texts: list[bytes], digests: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """words_of for pieces of about CHUNK bytes together; digests holds a hash object for each, which is updated."""
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begins = np.concatenate(([0], np.cumsum(lengths + 1)))
-    buf = np.frombuffer((b"\n".join(texts) + b"\n").lower(), dtype=np.uint8)
+    data = (b"\n".join(texts) + b"\n").lower()
+    buf = np.frombuffer(data, dtype=np.uint8)
     inside = ~SPACE[buf]
     change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         change = np.concatenate(([0], change))
     starts, ends = change[0::2], change[1::2]  # the last byte is white space, so every word ends
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[buf] * _power(_P, len(buf)), out=total[1:])
-    h = mix((total[ends] - total[starts]) * _power(_P_INVERSE, len(buf))[starts])
-    return h, np.searchsorted(starts, begins)
+    if digests is not None:  # each word and one space
+        kept = inside.copy()
+        kept[ends] = True
+        plain = np.where(inside, buf, 32).astype(np.uint8)[kept]
+        places = np.concatenate(([0], np.cumsum(kept)))[begins]
+        for digest, lo, hi in zip(digests, places[:-1], places[1:], strict=True):
+            digest.update(plain[lo:hi])
+    return _word_hashes(data, starts, ends - starts), np.searchsorted(starts, begins)
 
 
-def shingles_of(texts: list[bytes], k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: list[bytes], digests: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the white-space words of all texts (A-Z lowered), in order, and where each text's words begin (with an end).
+
+    digests gets a 128-bit cryptographic digest of each text's whole word sequence.
+    """
+    own = None if digests is None else [blake2b(digest_size=16) for _ in texts]
+    parts, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), dtype=np.int64)
+    for lo, hi in chunks(texts):
+        if hi - lo == 1:
+            for piece in pieces(texts[lo]):
+                h, at = _words([piece], own and own[lo:hi])
+                parts.append(h)
+                counts[lo] += at[1]
+        else:
+            h, at = _words(texts[lo:hi], own and own[lo:hi])
+            parts.append(h)
+            counts[lo:hi] = np.diff(at)
+    if digests is not None:
+        digests += [d.digest() for d in own]
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum(counts)))
+
+
+def shingles_of(texts: list[bytes], k: int, short: bool = True, digests: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of all texts and where each text's begin (with an end).
 
     A text of fewer words is one shingle of all its words if short, else has none.
     """
-    h, at = words_of(texts)
+    h, at = words_of(texts, digests)
     factor = stream(2, k) | np.uint64(1)
     counts = np.diff(at)
     has = np.maximum(counts - k + 1, 0)
     if short:
         has = np.where((counts > 0) & (counts < k), 1, has)
     begins = np.concatenate(([0], np.cumsum(has)))
-    first = np.repeat(at[:-1] - begins[:-1], has) + np.arange(begins[-1])  # each shingle's first word
+    out = np.empty(begins[-1], dtype=np.uint64)
     padded = np.concatenate((h, np.zeros(k, dtype=np.uint64)))
-    acc = np.zeros(len(first), dtype=np.uint64)
-    left = np.repeat(at[1:], has)
-    for j in range(k):
-        inside = first + j < left
-        acc += np.where(inside, padded[first + j] * factor[j] + np.uint64(j + 1), np.uint64(0))
-    return mix(acc), begins
+    shift = at[:-1] - begins[:-1]
+    for lo in range(0, len(out), BLOCK):
+        hi = min(lo + BLOCK, len(out))
+        text = np.searchsorted(begins, np.arange(lo, hi), side="right") - 1
+        first, left = np.arange(lo, hi) + shift[text], at[text + 1]
+        acc = np.zeros(hi - lo, dtype=np.uint64)
+        for j in range(k):
+            acc += np.where(first + j < left, padded[first + j] * factor[j] + np.uint64(j + 1), np.uint64(0))
+        out[lo:hi] = mix(acc)
+    return out, begins
+
+
+def minima(h: np.ndarray, begins: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
+    """The least h * a + b of each run of h that begins at begins (none is empty)."""
+    if len(h) <= 4 * BLOCK:
+        return np.minimum.reduceat(h * a + b, begins)
+    ends = np.concatenate((begins[1:], [len(h)]))
+    return np.array([min((h[i : min(i + BLOCK, hi)] * a + b).min() for i in range(lo, hi, BLOCK)) for lo, hi in zip(begins, ends, strict=True)], dtype=np.uint64)
 
 
 def exact_shingles(text: bytes, k: int, short: bool = True) -> set[bytes]:

@@ -3,49 +3,66 @@
 A document's set holds its k-word shingles (A-Z lowered, white-space words); documents are linked if their sets'
 Jaccard similarity is at least `percent`/100, and a group is a connected component of links.
 
-1. Documents of equal sets are one class, with its smallest doc_id; only classes are joined.
-2. A class posts itself under each (coordinate, value) of its signature of COORDINATES minima. Two sets of similarity 0.8
-   agree in fewer than MATCHES coordinates with a chance below 2e-6, so a pair must agree in MATCHES of them.
-3. Prefix and skip: postings are ordered by frequency. A class skips its MATCHES - 1 most frequent coordinate-value
-   pairs: if two classes agree in MATCHES, they still meet under a rarer one. Values that nobody shares post nothing,
+1. Documents of one word sequence (by a 128-bit cryptographic digest of the whole sequence) are one class, with its
+   smallest doc_id; only classes are joined. Equal sets of other sequences are linked like any other pair.
+2. A class posts itself under each (coordinate, value) of its signature of COORDINATES minima. A pair is retained if it
+   collides in at least `matches(percent)` coordinates, which linked pairs do but for a chance of MISSED.
+3. Prefix and skip: postings are ordered by frequency. A class skips its matches - 1 most frequent coordinate-value
+   pairs: if two classes collide so often, they still meet under a rarer one. Values that nobody shares post nothing,
    and values that a passage or frequent words give to very many classes are those skipped.
 4. Lists aren't expanded into their pairs. Every class of a list meets STARS of its members, its pivots. The lists of
    one first pivot are then taken as one: if all its classes are connected with it, it is done; else each class outside
-   the pivot's component meets the others that aren't in its own component. Two linked classes share a first pivot, so
-   they are connected already or meet.
-5. Meetings are pruned before they make a row: by sizes; by a 256-bit sketch of the signatures; by the distances to the
-   pivot, as 1 - similarity is a metric; and by an odd sketch of ODD_BITS bits, in which each shingle flips one bit, so
-   that two sketches never differ in more bits than the sets differ in shingles. What is left is verified on the whole
-   sets of words, made again from the texts.
+   the pivot's component meets the others that aren't in its own component, in blocks of both sides for large groups.
+   Two linked classes share a first pivot, so they are connected already or meet.
+5. Each meeting counts the pair's collisions over all coordinates, the skipped ones too: a class carries four bits of
+   each coordinate's value, so the count is never below the true one. Pairs below the match threshold make no row, nor do
+   pairs ruled out by their sizes, by their distances to the pivot (1 - similarity is a metric), or by an odd sketch of
+   ODD_BITS bits, in which each shingle flips one bit, so that two sketches never differ in more bits than the sets
+   differ in shingles. What is left is verified on the whole sets of words, made again from the texts.
 6. Components by label propagation with pointer jumping, as joins.
 
+Heavy keys (a pivot, a class or a document with very many rows) are dealt to several tasks in each join.
+
 Null or empty text: an empty set, linked with nothing. Fewer words than k: the whole sequence is one shingle. Null
-doc_id: linked with nothing, component_id null, kept. Repeated rows: one result row each; rows that share a doc_id count
-as one document with each of their sets. Extra columns are ignored.
+doc_id: linked with nothing, component_id null, kept. Repeated rows: one result row each; rows that share a doc_id are
+one document with each of their sets, in one component. Empty table: no rows. Extra columns are ignored.
+one_of_each works on rows instead: equal, repeated and null ids don't matter, and one row of each component stays.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, column_bytes, exact_shingles, map_batches, materialize, mix, only, shingles_of, slices, stream
+from .common import chunks, column_bytes, discard, exact_shingles, heavy_join, heavy_keys, map_batches, materialize, minima, mix, only, shingles_of, sizes_of, slices, small, stream
 
 COORDINATES = 64
-#: Collisions a linked pair has: P(Binomial(64, 0.8) < 34) < 2e-6.
-MATCHES = 34
-#: Equal bits of 256 (four of each coordinate) that a linked pair has but for one in 10^6: 64 * (0.8 * 4 + 0.2 * 2) = 230 on average.
-SKETCH_BITS = 188
+#: The chance that a pair at the threshold itself collides less often than the match threshold.
+MISSED = 2e-6
 #: Pivots of a list.
 STARS = 3
 #: Bits of the odd sketches.
 ODD_BITS = 2048
+#: Classes of a group that meet in one block, on either side.
+BLOCK_CLASSES = 512
+
+
+def matches(percent: int) -> int:
+    """The match threshold: the most collisions that a pair of similarity percent / 100 misses with a chance up to MISSED."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < COORDINATES and (below := below + comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) <= MISSED:
+        m += 1
+    if m < 1 or percent > 100:
+        raise ValueError(f"percent {percent}: {COORDINATES} coordinates find similarities from 0.2 to 1")
+    return m
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """row id, doc_id, n (set size), f1, f2 (the set's fingerprint), tokens (coordinate-value pairs), s0..s3 (sketch)."""
+    """doc_id, n (set size), d1, d2 (digest of the word sequence), tokens (coordinate-value pairs), s0..s3 (bit j of each coordinate's value)."""
     a = stream(21, COORDINATES) | np.uint64(1)
     b = stream(22, COORDINATES)
     salt = stream(23, COORDINATES)
@@ -53,39 +70,40 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
     def work(batch):
         texts = column_bytes(batch.column(1))
-        n, f1, f2, tokens, sketch = [], [], [], [], [[], [], [], []]
+        n, d1, d2, tokens, sketch = [], [], [], [], [[], [], [], []]
         for lo, hi in chunks(texts):
-            h, at = shingles_of(texts[lo:hi], k)
+            digests: list[bytes] = []
+            h, at = shingles_of(texts[lo:hi], k, digests=digests)
             sets = [np.unique(h[at[i] : at[i + 1]]) for i in range(hi - lo)]
             sizes = np.array([len(x) for x in sets])
             full = np.flatnonzero(sizes)
             n += sizes.tolist()
+            two = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            d1 += two[:, 0].tolist()
+            d2 += two[:, 1].tolist()
             sig = np.zeros((hi - lo, COORDINATES), dtype=np.uint64)
-            one, two = np.zeros(hi - lo, dtype=np.uint64), np.zeros(hi - lo, dtype=np.uint64)
             if len(full):
-                flat = np.concatenate([sets[i] for i in full])
+                flat = np.concatenate([sets[i] for i in full]) if hi - lo > 1 else sets[0]
                 begins = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-                one[full] = np.add.reduceat(mix(flat + np.uint64(1)), begins)
-                two[full] = np.bitwise_xor.reduceat(mix(flat + np.uint64(2)), begins)
                 for c in range(COORDINATES):
-                    sig[full, c] = np.minimum.reduceat(flat * a[c] + b[c], begins)
+                    sig[full, c] = minima(flat, begins, a[c], b[c])
             pairs = mix(sig + salt[None, :])
-            f1 += one.view(np.int64).tolist()
-            f2 += two.view(np.int64).tolist()
             tokens += [x.view(np.int64) if m else np.zeros(0, np.int64) for x, m in zip(pairs, sizes, strict=True)]
             for j in range(4):
                 bits = (pairs >> np.uint64(11 + 9 * j)) & np.uint64(1)
                 sketch[j] += (bits * weight).sum(1, dtype=np.uint64).view(np.int64).tolist()
-        return {"doc_id": batch.column(0), "n": n, "f1": f1, "f2": f2, "tokens": tokens} | {f"s{j}": sketch[j] for j in range(4)}
+        return {"doc_id": batch.column(0), "n": n, "d1": d1, "d2": d2, "tokens": tokens} | {f"s{j}": sketch[j] for j in range(4)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n long, f1 long, f2 long, tokens array<long>, " + ", ".join(f"s{j} long" for j in range(4)))
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n long, d1 long, d2 long, tokens array<long>, " + ", ".join(f"s{j} long" for j in range(4)))
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """Sizes and sketches allow the similarity."""
-    differ = sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(1, 4)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+def _retained(a: str, b: str, percent: int) -> Column:
+    """The sizes allow the similarity, and the pair collides in as many coordinates as the match threshold asks for."""
+    unequal = F.lit(0).cast("long")
+    for j in range(4):
+        unequal = unequal.bitwiseOR(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}")))
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= 256 - SKETCH_BITS)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (COORDINATES - F.bit_count(unequal) >= matches(percent))
 
 
 def odd_sketches(texts: DataFrame, k: int) -> DataFrame:
@@ -110,14 +128,18 @@ def odd_sketches(texts: DataFrame, k: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return materialize(only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), materialize(ids)))
+    wanted = materialize(ids)
+    out = materialize(only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted))
+    discard(wanted)
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, d, linked) of pairs (a, b; materialised): their whole sets' distance, and whether they have the similarity; texts come by joins on a and b."""
     texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     of = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
-    both = pairs.join(of("b", "tb"), "b").join(of("a", "ta"), "a").select("a", "b", "ta", "tb")
+    both = heavy_join(pairs.select("a", "b"), of("b", "tb"), ["b"], heavy_keys(sizes_of(pairs, "b"), ["b"]))
+    both = heavy_join(both, of("a", "ta"), ["a"], heavy_keys(sizes_of(pairs, "a"), ["a"])).select("a", "b", "ta", "tb")
 
     def run(batches):
         last: tuple = (None, set())
@@ -135,20 +157,26 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     found = both.mapInArrow(run, "a long, b long, d double, linked boolean")
     # a repeated doc_id has several sets: then no one distance holds
-    return materialize(found.groupBy("a", "b").agg(F.when(F.min("d") == F.max("d"), F.min("d")).alias("d"), F.max("linked").alias("linked")))
+    out = materialize(found.groupBy("a", "b").agg(F.when(F.min("d") == F.max("d"), F.min("d")).alias("d"), F.max("linked").alias("linked")))
+    discard(texts)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in links (a, b): component is the smallest id reachable."""
+    """(id, component) of every id in links (a, b), once: component is the smallest id reachable."""
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
-    labels = materialize(edges.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("id"), F.least("u", "least").alias("c")))
+    labels = materialize(edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).select(F.col("u").alias("id"), F.least("u", "least").alias("c"), "n"))
+    heavy = heavy_keys(labels.select(F.col("id").alias("v"), "n"), ["v"])
+    labels = labels.drop("n")
     while True:
-        near = edges.join(labels, F.col("v") == F.col("id")).groupBy(F.col("u").alias("id")).agg(F.min("c").alias("m"))
+        near = heavy_join(edges, labels.select(F.col("id").alias("v"), "c"), ["v"], heavy).groupBy(F.col("u").alias("id")).agg(F.min("c").alias("m"))
         step = materialize(labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("old")))
         jump = step.select(F.col("id").alias("c"), F.col("c").alias("further"))
-        new = materialize(step.join(jump, "c", "left").select("id", F.least(F.col("c"), F.coalesce("further", "c")).alias("c"), "old"))
+        new = materialize(heavy_join(step, jump, ["c"], heavy_keys(sizes_of(step, "c"), ["c"]), "left").select("id", F.least(F.col("c"), F.coalesce("further", "c")).alias("c"), "old"))
+        discard(step)
         labels = new.select("id", "c")
         if new.where(F.col("c") != F.col("old")).isEmpty():
+            discard(edges)
             return labels.select("id", F.col("c").alias("component"))
 
 
@@ -156,12 +184,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     base = materialize(signatures(docs, k))
     usable = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    key = ["n", "f1", "f2"]
-    classes = materialize(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), *(F.first(f"s{j}").alias(f"s{j}") for j in range(4))))
+    key = ["d1", "d2"]
+    classes = materialize(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), *(F.first(f"s{j}").alias(f"s{j}") for j in range(4))))
     posted = classes.select("rep", F.explode("tokens").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("df"), "token"))
-    rarer = posted.join(shared, "token").withColumn("rank", rank).where(F.col("rank") >= MATCHES)
+    rarer = posted.join(shared, "token").withColumn("rank", rank).where(F.col("rank") >= matches(percent))
     sketch = classes.select("rep", "n", *(f"s{j}" for j in range(4)))
     lists = materialize(rarer.select("token", "rep").join(sketch, "rep"))
     stars = None
@@ -170,46 +198,78 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         pivot = F.min(F.struct(order.alias("o"), "rep", "n", *(f"s{j}" for j in range(4)))).alias("p")
         pivots = lists.groupBy("token").agg(pivot, F.count("*").alias("size")).where(F.col("size") > 1).select("token", "p.rep", "p.n", *(f"p.s{j}" for j in range(4)))
         met = lists.alias("x").join(pivots.alias("y"), "token").where(F.col("x.rep") != F.col("y.rep"))
-        met = met.select(F.lit(star).alias("star"), F.col("y.rep").alias("pivot"), F.col("x.rep").alias("rep"), _alike("x", "y", percent).alias("alike")).distinct()
-        stars = met if stars is None else stars.union(met.where("alike"))
+        met = met.select(F.lit(star).alias("star"), F.col("y.rep").alias("pivot"), F.col("x.rep").alias("rep"), _retained("x", "y", percent).alias("retained")).distinct()
+        stars = met if stars is None else stars.union(met.where("retained"))
     stars = materialize(stars)
+    discard(lists)
     pair = [F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")]
-    first = materialize(stars.where("alike").select(*pair).distinct())
+    first = materialize(stars.where("retained").select(*pair).distinct())
     tested = verified(first, docs, k, percent)
-    links = tested.where("linked").select("a", "b")
+    members = materialize(heavy_join(usable.select("doc_id", *key), classes.select(*key, "rep"), key, heavy_keys(classes.select(*key, F.col("size").alias("n")), key)).select("doc_id", "rep").distinct())
+    links = materialize(tested.where("linked").select("a", "b").union(_same_id(members)))
     links = links.union(_outside(stars.where("star = 0").select("pivot", "rep"), tested, components(links), sketch, docs, k, percent))
-    found = components(links)
-    members = base.select("doc_id", "n", "f1", "f2").join(classes.select(*key, "rep"), key, "left")
-    members = members.join(found, F.col("rep") == F.col("id"), "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return members.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of_class = classes.select(*key, "rep", "size").join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select(*key, "size", F.coalesce("component", "rep").alias("component"))
+    of_class = materialize(of_class)
+    discard(stars, first, members)
+    heavy = heavy_keys(of_class.select(*key, F.col("size").alias("n")), key)
+    rows = heavy_join(base.select("doc_id", F.col("n").alias("n_shingles"), *key), of_class.drop("size"), key, heavy, "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _same_id(members: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes that hold one doc_id; members: (doc_id, rep), each once."""
+    several = materialize(members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").select("doc_id", "a"))
+    return members.join(several, "doc_id").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
 
 def _outside(groups: DataFrame, tested: DataFrame, found: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) of the classes of groups (pivot, rep) that aren't in their pivot's component, with others of the group."""
     label = found.select(F.col("id").alias("rep"), F.col("component").alias("c"))
     of_pivot = found.select(F.col("id").alias("pivot"), F.col("component").alias("pc"))
+    heavy = heavy_keys(sizes_of(groups, "pivot"), ["pivot"])
     known = tested.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "d")  # a first pivot is the smallest id of its lists
-    rows = groups.join(label, "rep", "left").join(of_pivot, "pivot", "left").join(known, ["pivot", "rep"], "left")
+    rows = heavy_join(groups.join(label, "rep", "left"), of_pivot, ["pivot"], heavy, "left").join(known, ["pivot", "rep"], "left")
     rows = rows.select("pivot", "rep", F.coalesce("c", "rep").alias("c"), F.coalesce("pc", "pivot").alias("pc"), "d")
     rows = materialize(rows.withColumn("out", F.col("c") != F.col("pc")))
-    open_groups = rows.groupBy("pivot").agg(F.max("out").alias("any"), F.count("*").alias("size")).where("any and size > 1").select("pivot")
-    rows = materialize(rows.join(open_groups, "pivot", "left_semi"))
-    odd = odd_sketches(texts_of(docs, rows.select(F.col("rep").alias("doc_id")).distinct()), k)
+    open_groups = materialize(rows.groupBy("pivot").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.count("*").alias("size")).where("n_out > 0 and size > 1").select("pivot", F.ceil(F.col("n_out") / BLOCK_CLASSES).cast("int").alias("xs"), F.ceil(F.col("size") / BLOCK_CLASSES).cast("int").alias("ys")))
+    rows = materialize(heavy_join(rows, open_groups, ["pivot"], heavy))
+    ids = rows.select(F.col("rep").alias("doc_id")).distinct()
+    texts = texts_of(docs, ids)
+    odd = odd_sketches(texts, k)
     rows = materialize(rows.join(odd, F.col("rep") == F.col("id")).drop("id").join(sketch.drop("n"), "rep"))
-    x, y = rows.where("out").alias("x"), rows.alias("y")
+    discard(texts)
+    # a group's blocks: x rows fall into one of xs, y rows into one of ys, and each block of x meets each of y
+    part = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rows.where("out").withColumn("i", part("xs", 1)).withColumn("j", every("ys")).alias("x")
+    y = rows.withColumn("j", part("ys", 2)).withColumn("i", every("xs")).alias("y")
     differ = F.lit(0)
     for j in range(ODD_BITS // 64):
         differ = differ + F.bit_count(F.col(f"x.q{j}").bitwiseXOR(F.col(f"y.q{j}")))
     near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     once = ~F.col("y.out") | (F.col("x.rep") < F.col("y.rep"))
-    may = (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") != F.col("y.rep")) & once & near & _alike("x", "y", percent)
-    meet = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & may & (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)))
-    pairs = meet.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    return verified(materialize(pairs.join(tested, ["a", "b"], "left_anti")), docs, k, percent).where("linked").select("a", "b")
+    may = (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") != F.col("y.rep")) & once & near & _retained("x", "y", percent)
+    block = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    meet = x.join(y, block & may & (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)))
+    pairs = materialize(meet.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    out = verified(pairs, docs, k, percent).where("linked").select("a", "b")
+    discard(rows)
+    return out
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs, with all its columns, without the documents that aren't kept."""
-    gone = materialize(near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct())
-    return only(docs, gone, "left_anti")
+    """docs, with all its columns, with one row of each component of rows: the one with the smallest doc_id (nulls last, ties: any)."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = materialize(near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("r"), "component_id"))
+    # only components of several rows are ranked: each has a row that isn't its first
+    several = materialize(found.where("r != component_id").select("component_id").distinct())
+    theirs = heavy_join(found, small(several), ["component_id"], heavy_keys(sizes_of(found, "component_id"), ["component_id"]))
+    ids = numbered.select(F.col(row).alias("r"), F.col("doc_id").cast("long").alias("doc_id"))
+    ranked = materialize(theirs.join(ids, "r").select("r", "component_id", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r").alias("place")))
+    first = ranked.groupBy("component_id").agg(F.min("place").alias("first")).select("first.r")
+    gone = materialize(ranked.select("r").join(materialize(first), "r", "left_anti").withColumnRenamed("r", row))
+    return numbered.join(small(gone), row, "left_anti").select(*docs.columns)

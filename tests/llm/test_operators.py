@@ -220,8 +220,8 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates(spark, k):
+@pytest.mark.parametrize(("k", "percent"), [(2, 80), (5, 80), (2, 50), (2, 95)])
+def test_near_duplicates(spark, k, percent):
     rows = near_rows()
     sets = collections.defaultdict(list)
     for i, t, _ in rows:
@@ -231,17 +231,70 @@ def test_near_duplicates(spark, k):
     find = lambda i: i if group[i] == i else find(group[i])
     for a in ids:
         for b in ids:
-            if a < b and find(a) != find(b) and any(s and 100 * len(s & t) >= 80 * len(s | t) and t for s in sets[a] for t in sets[b]):
+            if a < b and find(a) != find(b) and any(s and 100 * len(s & t) >= percent * len(s | t) and t for s in sets[a] for t in sets[b]):
                 x, y = sorted((find(a), find(b)))
                 group[y] = x
-    got = near_dup.near_duplicates(frame(spark, rows), k).collect()
+    got = near_dup.near_duplicates(frame(spark, rows), k, percent).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
             assert r.component_id is None and r.kept
         else:
             assert r.component_id == find(r.doc_id) and r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(sets[r.doc_id][0])
-    assert near_dup.near_duplicates(frame(spark, rows).limit(0), k).count() == 0
+    assert near_dup.near_duplicates(frame(spark, rows).limit(0), k, percent).count() == 0
+
+
+def thue_morse(n):
+    x = "a"
+    for _ in range(n):
+        x += x.translate({97: 98, 98: 97})
+    return x
+
+
+def test_near_duplicates_of_words_that_polynomial_hashes_confuse(spark):
+    texts = [x for n in (10, 11, 12) for x in (thue_morse(n), thue_morse(n).translate({97: 98, 98: 97}))]
+    got = near_dup.near_duplicates(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), 2).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got)
+
+
+def test_near_duplicates_unite_rows_of_one_id(spark):
+    a, b = words(50, 1), words(200, 2)
+    rows = [(5, a, "s"), (6, a, "s"), (6, b, "s"), (7, b + " more", "s"), (8, words(50, 3), "s")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, rows), 2).collect())
+    assert got == [(5, 5, True), (6, 5, False), (6, 5, False), (7, 5, False), (8, 8, True)]
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of similarity 0.80 exactly (linked) and just below it, of equal sets in another order, and none else."""
+    rows, linked = [], set()
+    for p in range(300):
+        w = [f"p{p}w{i}" for i in range(91)]  # 90 shingles of two words: cutting 10 at an end and adding 10 leaves 80 of 100
+        extra = 10 if p % 2 == 0 else 11
+        rows += [(2 * p, " ".join(w), "a"), (2 * p + 1, " ".join([*w[10:], *(f"p{p}x{i}" for i in range(extra))]), "a")]
+        if p % 2 == 0:
+            linked.add(2 * p + 1)
+    loop = [f"c{i}" for i in range(30)]
+    rows += [(900, " ".join([*loop, loop[0]]), "a"), (901, " ".join([*loop[7:], *loop[:8]]), "a")]
+    got = near_dup.near_duplicates(frame(spark, rows), 2).collect()
+    assert {r.doc_id for r in got if not r.kept} == linked | {901}
+
+
+def test_large_groups_meet_in_blocks_and_heavy_keys_are_dealt(spark, monkeypatch):
+    from striata.llm import common
+
+    monkeypatch.setattr(common, "HEAVY_ROWS", 5)
+    monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 7)
+    test_near_duplicates(spark, 2, 80)
+
+
+def test_one_of_each_takes_rows(spark):
+    a, b = words(60, 1), words(60, 2)
+    rows = [(1, a, "s"), (1, a, "s"), (1, a, "t"), (None, a, "s"), (None, b, "s"), (None, b, "s"), (2, None, "s"), (2, "", "s"), (0, a + " z", "s"), (7, b, "s"), (7, words(60, 3), "u")]
+    df = frame(spark, rows)
+    got = near_dup.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text or "", r.source) for r in got.collect()) == sorted([(0, a + " z", "s"), (7, b, "s"), (7, words(60, 3), "u"), (2, "", "s"), (2, "", "s")])
+    assert near_dup.one_of_each(df.limit(0)).count() == 0
 
 
 def test_decontaminate(spark):
