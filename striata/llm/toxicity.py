@@ -1,13 +1,21 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-P(grade <= k) = sigmoid(theta_k - x.w), with one weight vector for all ordered thresholds. Features are markers: words
-and word beginnings that the labelled sample ties to toxic texts; x holds log(1 + count) of each, and of all words that
-have a marker. Weights are not negative, so another marker never lowers a text's severity. Grades: 0 for a label of 0;
-a label of 1 is graded by its text's share of words with a marker: 1 without any, 2 up to the median share, 3 above.
-A text's expected severity is the sum over k >= 1 of P(grade >= k); it is toxic from CUTOFF on.
-
-Null or empty text: scored as a text without features. Null doc_id: kept. Repeated rows: one result row each. No usable
-labels: all thresholds stay high, severity 0, nothing is toxic. Extra columns are ignored.
+P(grade <= k) = sigmoid(theta_k - x.w), with one weight vector for all ordered thresholds. Features are markers: a word or
+word beginning that occurs at least so often (one of LEVELS) in a text; letters are lowered. Weights are not negative, so
+another marker never lowers a text's severity. A text's expected severity is the sum over k >= 1 of P(grade >= k); it is
+toxic if P(grade >= 1) is at least CUTOFF.
+
+A marker's evidence is the log likelihood ratio of its share of toxic texts against the sample's. It must exceed the
+logarithm of the number of candidates by MARGIN, so that chance passes exp(-MARGIN) of them whatever the sample's size.
+Toxic texts count by their distinct contexts (the marker with its neighbours): copies of a passage are one context.
+
+Grades: 0 for a label of 0. A label of 1 is graded 1 to 3 by its lexical severity, the number of markers that hold for it,
+cut at the thirds of the toxic texts; the markers that grade one half of the sample are those learned on the other half,
+so that a grade never comes from features of its own label.
+
+Null or empty text: scored as a text without features. Null doc_id: kept; not learned from. Repeated rows: one result row
+each; the fit takes one text for each doc_id. Very long texts: taken in pieces. No usable labels, labels of one class, or
+an empty table: all thresholds stay high, severity 0, nothing is toxic. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,80 +23,100 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_bytes, map_batches, materialize, shingles_of, slices, stream
+from .common import column_bytes, map_batches, materialize, pieces, slices
 from .labelled import labelled_sample
 
-#: Labelled documents that a fit uses at most.
+#: Labelled documents that a fit uses at most; all that the driver collects is made of these.
 SAMPLE_ROWS = 12_000
-#: Markers at most: those with the strongest evidence.
-MAX_FEATURES = 2_000
-#: A marker's evidence: the log likelihood ratio, in nats, of its share of toxic texts against the sample's.
-MIN_EVIDENCE = 14.0
-#: The least share of toxic texts among those with a marker.
-MIN_SHARE = 0.9
-#: Bytes of a word's beginnings that may become markers, beside the whole word.
-BEGINNINGS = (3, 4, 5, 6, 7)
-#: Expected severity from which a text is toxic.
-CUTOFF = 0.6
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Characters of a word's beginnings that may become markers, beside the whole word.
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Occurrences from which a marker holds.
+LEVELS = (1, 2, 4, 8)
+#: See above.
+MARGIN = 1.0
+#: P(grade >= 1) from which a text is toxic.
+CUTOFF = 0.5
+WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
 def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def parts(word: bytes) -> list[bytes]:
-    """The features that a word may have: itself, and its beginnings, marked by a star."""
-    return [word, *(word[:k] + b"*" for k in BEGINNINGS if len(word) >= k)]
+def parts(word: str) -> list[str]:
+    """The markers that a word may be: itself, and its beginnings, which a star ends."""
+    return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
 
 
-class _Markers(dict):
-    """word -> its marker numbers (0 first, which stands for any), or () if it has none; bounded memory."""
+def words_in(text: bytes) -> Iterator[list[str]]:
+    """The words of a text, a piece at a time."""
+    for piece in pieces(text):
+        yield WORD.findall(piece.decode("utf-8", "replace").lower())
 
-    def __init__(self, vocabulary: dict[bytes, int]):
-        self.vocabulary = vocabulary
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        found = tuple(self.vocabulary[x] for x in parts(word) if x in self.vocabulary)
+def described(text: bytes) -> dict[str, list[int]]:
+    """part -> [occurrences, least hash of its contexts]."""
+    out: dict[str, list[int]] = {}
+    for words in words_in(text):
+        for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+            context = xxhash.xxh3_64_intdigest(f"{before} {word} {after}") >> 1
+            for part in parts(word):
+                if (mine := out.get(part)) is None:
+                    out[part] = [1, context]
+                else:
+                    mine[0] += 1
+                    mine[1] = min(mine[1], context)
+    return out
+
+
+class Stems(dict):
+    """word -> numbers of the known parts it has; bounded memory."""
+
+    def __init__(self, numbers: dict[str, int]):
+        self.numbers = numbers
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = tuple(self.numbers[x] for x in parts(word) if x in self.numbers)
         if len(self) >= 100_000:
             self.clear()
-        self[word] = out = (0, *found) if found else ()
-        return out
-
+        if len(word) <= 64:
+            self[word] = found
+        return found
 
-def count_markers(text: bytes, markers: _Markers) -> tuple[int, Counter]:
-    words = WORD.findall(text.lower())
-    return len(words), Counter(j for found in map(markers.__getitem__, words) if found for j in found)
+    def count(self, text: bytes) -> Counter:
+        return Counter(j for words in words_in(text) for found in map(self.__getitem__, words) if found for j in found)
 
 
 @dataclass
 class Model:
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    weights: list[float] = field(default_factory=lambda: [0.0])
+    """weights: part -> [(level, weight)]."""
+
+    weights: dict[str, list[tuple[int, float]]] = field(default_factory=dict)
     thresholds: tuple[float, ...] = (20.0, 21.0, 22.0)
 
     def __post_init__(self):
-        self.markers = _Markers(self.vocabulary)
+        self.stems = Stems({part: j for j, part in enumerate(self.weights)})
+        self.steps = list(self.weights.values())
 
     def __getstate__(self):
-        return self.vocabulary, self.weights, self.thresholds
+        return self.weights, self.thresholds
 
     def __setstate__(self, state):
-        self.vocabulary, self.weights, self.thresholds = state
+        self.weights, self.thresholds = state
         self.__post_init__()
 
-    def severity(self, text: bytes) -> tuple[float, int]:
-        """Expected severity and the likeliest grade."""
-        s = math.fsum(self.weights[j] * math.log1p(c) for j, c in count_markers(text, self.markers)[1].items())
-        over = _sigmoid(s - np.array(self.thresholds))
-        p = -np.diff(np.concatenate(([1.0], over, [0.0])))
-        return float(over.sum()), int(np.argmax(p))
+    def over(self, text: bytes) -> np.ndarray:
+        """P(grade >= k) for k from 1."""
+        s = math.fsum(w for j, n in self.stems.count(text).items() for level, w in self.steps[j] if n >= level)
+        return _sigmoid(s - np.array(self.thresholds))
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, n_features: int, grades: int = 4, l2: float = 1e-4, steps: int = 800, rate: float = 0.05):
@@ -120,75 +148,94 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndar
     return w, tuple(float(x) for x in theta0 + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
+def evidence(toxic: float, clean: float, share: float) -> float:
+    """Log likelihood ratio of toxic texts among those with a marker, against their share in the sample; 0 if not above it."""
+    own = toxic / (toxic + clean) if toxic else 0.0
+    if own <= share:
+        return 0.0
+    return toxic * math.log(own / share) + (clean * math.log((1 - own) / (1 - share)) if clean else 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most `rows` labelled documents; of near copies among them (an equal minimum of hashed 3-word shingles) the fit keeps one."""
-    sample = materialize(labelled_sample(docs, labels, "toxic", rows))
-    keys = stream(7, 4) | np.uint64(1)
-
-    def signature(batch):
-        texts = column_bytes(batch.column(1))
-        out: dict = {"doc_id": batch.column(0), "label": batch.column(2), "words": [], "sig": []}
-        for a, b in chunks(texts):
-            h, at = shingles_of(texts[a:b], 3)
-            for i in range(b - a):
-                part = h[at[i] : at[i + 1]]
-                out["sig"].append([int((part * k).min() >> np.uint64(1)) for k in keys] if len(part) else [])
-        out["words"] = [len(set(WORD.findall(t.lower()))) for t in texts]
+    """Fit on at most `rows` labelled documents."""
+    half = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).cast("int").alias("half")
+    sample = materialize(labelled_sample(docs, labels, "toxic", rows).select("doc_id", "text", (F.col("label") > 0).alias("toxic"), half))
+    size = {(r.toxic, r.half): r.n for r in sample.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = ([size.get((t, h), 0) for h in (0, 1)] for t in (True, False))
+    if not sum(n_toxic) or not sum(n_clean):
+        return Model()
+
+    def occurrences(batch):
+        out: dict = {"part": [], "n": [], "context": [], "half": []}
+        for text, h in zip(column_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            found = described(text)
+            out["part"] += found
+            out["n"] += [n for n, _ in found.values()]
+            out["context"] += [c for _, c in found.values()]
+            out["half"] += [h] * len(found)
         return out
 
-    seen: set = set()
-    kept: dict[int, int] = {}
-    for r in sorted(map_batches(sample.select("doc_id", "text", "label"), signature, "doc_id long, label int, words int, sig array<long>").collect(), key=lambda r: (r.doc_id, r.words)):
-        mine = {(k, x) for k, x in enumerate(r.sig)}
-        if r.doc_id not in kept and (not mine or seen.isdisjoint(mine)):
-            kept[r.doc_id] = r.label
-        seen |= mine
-    if not kept or len({x > 0 for x in kept.values()}) < 2:
+    level = F.explode(F.filter(F.array(*map(F.lit, LEVELS)), lambda x: x <= F.col("n"))).alias("level")
+    each = map_batches(sample.where("toxic").select("text", "half"), occurrences, "part string, n int, context long, half int").select("part", "context", "half", level)
+    by_context = each.groupBy("part", "level", "context").agg(*(F.count_if(F.col("half") == h).alias(f"t{h}") for h in (0, 1)))
+    sums = by_context.groupBy("part", "level").agg(*(e for h in (0, 1) for e in (F.sum(f"t{h}").alias(f"t{h}"), F.count_if(F.col(f"t{h}") > 0).alias(f"x{h}"))), F.count("*").alias("x"))
+    candidates = sums.where("x > 1 and t0 + t1 > 1").collect()
+    if not candidates:
         return Model()
-    chosen = sample.where(F.col("doc_id").isin(list(kept))) if len(kept) < 50 else sample.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in kept], "doc_id long")), "doc_id")
-
-    def distinct(batch):
-        both: tuple[Counter, Counter] = Counter(), Counter()
-        for label, t in zip(batch.column(2).to_pylist(), column_bytes(batch.column(1)), strict=True):
-            mine = {x for w in set(WORD.findall(t.lower())) for x in parts(w)}
-            both[0].update(mine)
-            if label > 0:
-                both[1].update(mine)
-        return {"part": list(both[0]), "n": list(both[0].values()), "t": [both[1][x] for x in both[0]]}
-
-    n_toxic = sum(x > 0 for x in kept.values())
-    mean = n_toxic / len(kept)
-    df = map_batches(chosen.select("doc_id", "text", "label"), distinct, "part binary, n long, t long").groupBy("part").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    share = F.col("t") / F.col("n")
-    evidence = F.col("t") * F.log(share / mean) + F.when(share < 1, (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - mean))).otherwise(0.0)
-    top = df.where(F.col("t") >= MIN_SHARE * F.col("n")).where(share > mean).withColumn("evidence", evidence).where(F.col("evidence") >= MIN_EVIDENCE).orderBy(F.desc("evidence"), "part").limit(MAX_FEATURES).collect()
-    vocabulary = {bytes(r.part): j + 1 for j, r in enumerate(top)}
-    markers = _Markers(vocabulary)
+    numbers = {part: j for j, part in enumerate(sorted({r.part for r in candidates}))}
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+
+    def clean_counts(batch):
+        total: Counter = Counter()
+        stems = Stems(shared.value)
+        for text, h in zip(column_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            for j, n in stems.count(text).items():
+                total.update((j, level, h) for level in LEVELS if level <= n)
+        return {"j": [j for j, _, _ in total], "level": [x for _, x, _ in total], "half": [h for *_, h in total], "n": list(total.values())}
+
+    clean: Counter = Counter()
+    for r in map_batches(sample.where("not toxic").select("text", "half"), clean_counts, "j int, level int, half int, n long").groupBy("j", "level", "half").agg(F.sum("n").alias("n")).collect():
+        clean[r.j, r.level, r.half] = r.n
+    bar = math.log(len(candidates)) + MARGIN
+    chosen: list[set] = [set(), set(), set()]  # markers learned on half 0, on half 1, on both
+    for r in candidates:
+        key = (numbers[r.part], r.level)
+        c0, c1 = clean[*key, 0], clean[*key, 1]
+        for side, (t, c) in enumerate(((min(r.t0, r.x0), c0), (min(r.t1, r.x1), c1), (min(r.t0 + r.t1, r.x), c0 + c1))):
+            toxic, all_ = (n_toxic[side], n_toxic[side] + n_clean[side]) if side < 2 else (sum(n_toxic), sum(n_toxic) + sum(n_clean))
+            if all_ and evidence(t, c, toxic / all_) >= bar:
+                chosen[side].add(key)
+    names = sorted(numbers, key=numbers.get)
+    used = {names[j]: j for side in chosen for j, _ in side}
 
     def features(batch):
-        found = [count_markers(t, markers) for t in column_bytes(batch.column(1))]
-        return {"doc_id": batch.column(0), "n_words": [n for n, _ in found], "at": [list(c) for _, c in found], "n": [list(c.values()) for _, c in found]}
-
-    got = {r.doc_id: r for r in map_batches(chosen.select("doc_id", "text"), features, "doc_id long, n_words int, at array<int>, n array<int>").collect()}
-    ids = sorted(got)
-    line = np.repeat(np.arange(len(ids)), [len(got[i]["at"]) for i in ids])
-    cols = np.array([j for i in ids for j in got[i]["at"]], dtype=np.int64)
-    counts = np.array([c for i in ids for c in got[i]["n"]], dtype=np.float64)
-    share = np.bincount(line, weights=counts * (cols == 0), minlength=len(ids)) / np.maximum([got[i].n_words for i in ids], 1)
-    toxic = np.array([kept[i] > 0 for i in ids])
-    marked = toxic & (share > 0)
-    middle = np.median(share[marked]) if marked.any() else 0
-    y = np.where(toxic, np.where(share == 0, 1, np.where(share <= middle, 2, 3)), 0)
-    w, thresholds = fit_ordinal(line, cols, np.log1p(counts), y, len(top) + 1)
-    return Model(vocabulary, [float(x) for x in w], thresholds)
+        stems = Stems(used)
+        found = [stems.count(t) for t in column_bytes(batch.column(0))]
+        return {"doc_id": batch.column(1), "toxic": batch.column(2), "half": batch.column(3), "at": [list(c) for c in found], "n": [list(c.values()) for c in found]}
+
+    got = sorted(map_batches(sample.select("text", "doc_id", "toxic", "half"), features, "doc_id long, toxic boolean, half int, at array<int>, n array<int>").collect(), key=lambda r: r.doc_id)
+    holds = [{(j, level) for j, n in zip(r.at, r.n, strict=True) for level in LEVELS if level <= n} for r in got]
+    severity = np.array([len(h & chosen[1 - r.half]) for r, h in zip(got, holds, strict=True)])
+    toxic = np.array([r.toxic for r in got])
+    y = np.where(toxic, 1 + np.searchsorted(np.quantile(severity[toxic], [1 / 3, 2 / 3]), severity, side="left"), 0)
+    markers = sorted(chosen[2])
+    place = {m: i for i, m in enumerate(markers)}
+    cells = [(i, place[m]) for i, h in enumerate(holds) for m in sorted(h & chosen[2])]
+    line, cols = (np.array([c[k] for c in cells], dtype=np.int64) for k in (0, 1))
+    w, thresholds = fit_ordinal(line, cols, np.ones(len(cells)), y, len(markers))
+    weights: dict[str, list[tuple[int, float]]] = {}
+    for (j, level), x in zip(markers, w, strict=True):
+        weights.setdefault(names[j], []).append((level, float(x)))
+    return Model(weights, thresholds)
 
 
 def score(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, expected_severity, grade (the likeliest), toxic for each row of docs: one narrow pass."""
 
     def work(batch):
-        found = [model.severity(t) for t in column_bytes(batch.column(1))]
-        return {"doc_id": batch.column(0), "expected_severity": [x for x, _ in found], "grade": [g for _, g in found], "toxic": [x >= cutoff for x, _ in found]}
+        over = [model.over(t) for t in column_bytes(batch.column(1))]
+        grade = [int(np.argmax(-np.diff(np.concatenate(([1.0], x, [0.0]))))) for x in over]
+        return {"doc_id": batch.column(0), "expected_severity": [float(x.sum()) for x in over], "grade": grade, "toxic": [bool(x[0] >= cutoff) for x in over]}
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, expected_severity double, grade int, toxic boolean")
 
@@ -196,14 +243,11 @@ def score(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
     """docs, with all its columns, without toxic rows: one narrow pass."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     at = docs.columns.index("text")
-    schema = docs.schema
 
     def run(batches):
         for batch in slices(batches):
-            keep = pa.array([model.severity(t)[0] < cutoff for t in column_bytes(batch.column(at))], type=pa.bool_())
-            yield batch.filter(pc.fill_null(keep, True))
+            yield batch.filter(pa.array([bool(model.over(t)[0] < cutoff) for t in column_bytes(batch.column(at))], type=pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
