@@ -6,12 +6,14 @@ its host and all subdomains if the path starts with the rule's; the longest wins
 The URLs that rules allow and those that they block train one variable-order Markov model each, over `host + path`
 written in a reduced alphabet (a-z, one digit sign, punctuation, one sign for the rest), so a model's size is bounded by
 the alphabet: at most ALPHABET ** (ORDER + 1) entries. Orders are smoothed into each other:
-p(c | s) = (n(s, c) + STRENGTH * p(c | s without its first sign)) / (n(s) + STRENGTH). A URL without a rule is blocked if
-its mean log ratio, blocked over allowed, exceeds the threshold at which both groups of training URLs lie equally many
-standard deviations off.
+p(c | s) = (n(s, c) + STRENGTH * p(c | s without its first sign)) / (n(s) + STRENGTH), so signs that training never saw
+after a context back off to shorter ones. A URL without a rule is blocked if its mean log ratio, blocked over allowed,
+exceeds the threshold at which both groups of training URLs lie equally many standard deviations off. There each training
+URL is judged by the models of the other half of them (halves by a hash of the URL's signs), never by its own.
 
 Null URL or none with `://`: host and path are empty, no rule, allowed. If either group of training URLs is empty, all
-without a rule are allowed. Null page_id: kept. Repeated rows: one result row each. Extra columns are ignored.
+without a rule are allowed. Null page_id: kept. Repeated rows: one result row each. Very long URLs: judged whole. Empty table: no rows. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import heavy_join, heavy_keys, materialize, small
 
 #: The rules of the contract, (verdict, rule).
 RULES = [
@@ -31,6 +33,8 @@ RULES = [
 ]
 ORDER = 3
 STRENGTH = 4.0
+#: Grams whose ratios may be broadcast; beyond (at most ALPHABET ** (ORDER + 1)) their join shuffles.
+BROADCAST_GRAMS = 300_000
 #: Signs of the reduced alphabet: a-z, 0 for digits, these, and ~ for all others; ^ begins a URL.
 PUNCTUATION = "./-_%:&+=@"
 ALPHABET = 26 + 1 + len(PUNCTUATION) + 2
@@ -69,47 +73,63 @@ def grams(rows: DataFrame) -> DataFrame:
     return rows.withColumn("gram", F.explode(F.transform(places, lambda i: F.substring("signs", i, F.lit(ORDER + 1)))))
 
 
-def model(rows: DataFrame) -> DataFrame:
-    """(gram, ratio) from (signs, blocked): log2 of the blocked over the allowed model's probability, for each gram of rows.
+#: Models: of all training URLs, of those of half 1 (which judge half 0), of those of half 0.
+MODELS = {"all": (0, 1), "h0": (1,), "h1": (0,)}
 
-    Rows with a null in blocked don't train: their grams count 0, so one that training never saw backs off to shorter contexts. Every order's counts are sums over the bounded table of gram counts, which one pre-aggregated shuffle makes.
+
+def model(seen: DataFrame) -> DataFrame:
+    """(gram, all, h0, h1): log2 of the blocked over the allowed probability of each gram in seen (gram, n00, n01, n10, n11; materialised), by each of MODELS.
+
+    n<b><h> counts the gram in training URLs that are blocked (b) and in half h; it may be 0 everywhere. Every order's
+    counts are sums over this bounded table.
     """
-    seen = materialize(grams(rows).groupBy("gram").agg(*(F.sum(F.when(F.col("blocked") == bool(b), 1).otherwise(0)).cast("double").alias(f"n{b}") for b in (0, 1))))
-    out = seen.select("gram", *(F.lit(1.0 / ALPHABET).alias(f"p{b}") for b in (0, 1)))
+    names = [f"{m}{b}" for m in MODELS for b in (0, 1)]
+    counts = seen.select("gram", *(sum((F.col(f"n{b}{h}") for h in halves[1:]), F.col(f"n{b}{halves[0]}")).alias(f"{m}{b}") for m, halves in MODELS.items() for b in (0, 1)))
+    out = counts.select("gram", *names, *(F.lit(1.0 / ALPHABET).alias(f"p{x}") for x in names))
     for k in range(ORDER + 1):
         tail, context = F.substring("gram", ORDER + 1 - k, k + 1), F.substring("gram", ORDER + 1 - k, k)
-        for name, key, cols in ((f"t{k}", tail, ("a0", "a1")), (f"c{k}", context, ("s0", "s1"))):
-            out = out.withColumn(name, key)
-            sums = seen.groupBy(key.alias(name)).agg(F.sum("n0").alias(cols[0]), F.sum("n1").alias(cols[1]))
-            out = out.join(F.broadcast(sums), name)  # at most ALPHABET ** (k + 1) rows
-        out = out.select("gram", *(((F.col(f"a{b}") + STRENGTH * F.col(f"p{b}")) / (F.col(f"s{b}") + STRENGTH)).alias(f"p{b}") for b in (0, 1)))
-    return materialize(out.select("gram", F.log2(F.col("p1") / F.col("p0")).alias("ratio")))
-
-
-def with_ratio(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """(row, ratio): the mean over a row's signs; fitted has all their grams."""
-    return grams(rows).join(F.broadcast(fitted), "gram").groupBy("row").agg(F.avg("ratio").alias("ratio"))
+        here = out.withColumn("context", context)
+        here = here.join(F.broadcast(counts.groupBy(context.alias("context")).agg(*(F.sum(x).alias(f"s{x}") for x in names))), "context")  # at most ALPHABET ** ORDER rows
+        if k < ORDER:
+            sums = counts.groupBy(tail.alias("tail")).agg(*(F.sum(x).alias(f"a{x}") for x in names))
+            here = here.withColumn("tail", tail).join(F.broadcast(sums), "tail")  # at most ALPHABET ** ORDER rows
+        own = (lambda x: F.col(f"a{x}")) if k < ORDER else F.col  # the longest tail is the gram itself
+        out = here.select("gram", *names, *(((own(x) + STRENGTH * F.col(f"p{x}")) / (F.col(f"s{x}") + STRENGTH)).alias(f"p{x}") for x in names))
+    return materialize(out.select("gram", *(F.log2(F.col(f"p{m}1") / F.col(f"p{m}0")).alias(m) for m in MODELS)))
+
+
+def ratios(rows: DataFrame) -> DataFrame:
+    """(row, all, h0, h1): each row's mean log ratio by each of MODELS; rows (row, signs, half, blocked), those with a null in blocked don't train."""
+    each = grams(rows.select("row", "signs", "half", "blocked"))
+    in_group = lambda b, h: F.sum(F.when((F.col("blocked") == bool(b)) & (F.col("half") == h), 1).otherwise(0)).cast("double")
+    seen = materialize(each.groupBy("gram").agg(F.count("*").alias("n"), *(in_group(b, h).alias(f"n{b}{h}") for b in (0, 1) for h in (0, 1))))
+    fitted = model(seen)
+    heavy = None if seen.count() <= BROADCAST_GRAMS else heavy_keys(seen.select("gram", "n"), ["gram"])
+    return heavy_join(each.select("row", "gram"), small(fitted, BROADCAST_GRAMS), ["gram"], heavy).groupBy("row").agg(*(F.avg(m).alias(m) for m in MODELS))
+
+
+def threshold(trained: DataFrame) -> float:
+    """The ratio that lies equally many standard deviations off both groups; trained: (blocked, ratio), where a group without any ratio gives 0."""
+    spread = {r.blocked: (r.m, r.s) for r in trained.groupBy("blocked").agg(F.avg("ratio").alias("m"), F.stddev_pop("ratio").alias("s")).where("m is not null").collect()}
+    if set(spread) != {True, False}:
+        return 0.0
+    (m0, s0), (m1, s1) = spread[False], spread[True]
+    return (m0 * (s1 + 1e-9) + m1 * (s0 + 1e-9)) / (s0 + s1 + 2e-9)
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, log_ratio (null where a rule decides or nothing was learned) for each row of pages (page_id, url)."""
     host, path = host_and_path(F.col("url"))
-    rows = materialize(pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("signs", reduced(F.concat("host", "path"))).withColumn("blocked", F.col("by_rule") == "block")
-    trained = ruled.where(F.col("by_rule").isNotNull())
-    groups = {r.blocked for r in trained.groupBy("blocked").count().collect()}
-    free = ruled.where(F.col("by_rule").isNull())
-    if groups != {True, False}:
+    signs = reduced(F.concat("host", "path"))
+    ruled = materialize(rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("signs", signs).withColumn("half", F.pmod(F.xxhash64("signs"), F.lit(2)).cast("int")).withColumn("blocked", F.col("by_rule") == "block"))
+    groups = {r.blocked for r in ruled.groupBy("blocked").count().collect()}
+    if not groups >= {True, False}:
         return ruled.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("log_ratio"))
-    fitted = model(ruled.select("signs", "blocked"))
-    known = with_ratio(trained.select("row", "signs"), fitted).join(trained.select("row", "blocked"), "row")
-    spread = {r.blocked: (r.m, r.s) for r in known.groupBy("blocked").agg(F.avg("ratio").alias("m"), F.stddev_pop("ratio").alias("s")).collect()}
-    if set(spread) == {True, False}:
-        (m0, s0), (m1, s1) = spread[False], spread[True]
-        cut = (m0 * (s1 + 1e-9) + m1 * (s0 + 1e-9)) / (s0 + s1 + 2e-9)
-    else:
-        cut = 0.0
-    judged = with_ratio(free.where(F.length("signs") > ORDER).select("row", "signs"), fitted)
-    out = ruled.join(judged, "row", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("ratio") > cut, "block").otherwise("allow")).alias("verdict"), F.col("ratio").alias("log_ratio"))
+    judged = materialize(ratios(ruled))
+    both = ruled.join(judged, "row", "left")
+    held = F.when(F.col("half") == 0, F.col("h0")).otherwise(F.col("h1"))
+    cut = threshold(both.where(F.col("blocked").isNotNull()).select("blocked", held.alias("ratio")))
+    ratio = F.when(F.col("blocked").isNull(), F.col("all"))
+    return both.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(ratio > cut, "block").otherwise("allow")).alias("verdict"), ratio.alias("log_ratio"))
