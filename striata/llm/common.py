@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -147,11 +148,11 @@ BLOCK = 1 << 20
 LONG_WORD = 64
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """(from, to) runs of texts of about limit bytes together; one text at least."""
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(from, to) runs of texts of about CHUNK bytes together; one text at least."""
     start = size = 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
+        if size and size + len(text) > CHUNK:
             yield start, i
             start, size = i, 0
         size += len(text) + 1
@@ -159,11 +160,11 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def pieces(text: bytes, limit: int = CHUNK) -> Iterator[bytes]:
-    """text, cut at white space into pieces of about limit bytes: none holds a part of a word."""
+def pieces(text: bytes) -> Iterator[bytes]:
+    """text, cut at white space into pieces of about CHUNK bytes: none holds a part of a word."""
     at = 0
-    while len(text) - at > limit:
-        cut = _SPACE.search(text, at + limit)
+    while len(text) - at > CHUNK:
+        cut = _SPACE.search(text, at + CHUNK)
         if cut is None:
             break
         yield text[at : cut.start()]
@@ -265,9 +266,34 @@ def minima(h: np.ndarray, begins: np.ndarray, a: np.uint64, b: np.uint64) -> np.
     return np.array([min((h[i : min(i + BLOCK, hi)] * a + b).min() for i in range(lo, hi, BLOCK)) for lo, hi in zip(begins, ends, strict=True)], dtype=np.uint64)
 
 
+def shingle_stream(text: bytes, k: int) -> Iterator[bytes]:
+    """The k-word shingles of a text in order, made from a piece at a time; none if it has fewer words."""
+    before: list[bytes] = []
+    for piece in pieces(text):
+        words = before + piece.lower().split()
+        for i in range(len(words) - k + 1):
+            yield b" ".join(words[i : i + k])
+        before = words[max(0, len(words) - k + 1) :] if k > 1 else []
+
+
 def exact_shingles(text: bytes, k: int, short: bool = True) -> set[bytes]:
     """The k-word shingles themselves: words joined by one space (no word holds one)."""
     words = text.lower().split()
     if len(words) < k:
         return {b" ".join(words)} if words and short else set()
     return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+
+#: Bytes of text beyond which sets are compared in parts, so that few shingles are held at once.
+LONG_TEXT = 8 << 20
+
+
+def overlap(x: bytes, y: bytes, k: int) -> tuple[int, int]:
+    """Sizes of the intersection and of the union of two texts' sets of shingles; shingles fall into parts by a hash."""
+    n = max(1, -(-max(len(x), len(y)) // LONG_TEXT))
+    short = [exact_shingles(t, k) if next(shingle_stream(t, k), None) is None else None for t in (x, y)]
+    shared = union = 0
+    for part in range(n):
+        a, b = ({s for s in (shingle_stream(t, k) if few is None else few) if crc32(s) % n == part} for t, few in zip((x, y), short, strict=True))
+        shared, union = shared + len(a & b), union + len(a | b)
+    return shared, union

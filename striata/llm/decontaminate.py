@@ -11,20 +11,24 @@ Candidates are verified on the whole sets of shingles.
 The items' index is broadcast; it is built for BLOCK_BYTES of item texts at a time, a pass over the documents each.
 
 Null or empty document text: no shingles, no hits. Items with fewer than k words (or null) take no part, as they have no
-shingle. Null ids: kept as they are. Repeated rows: one result row for each pair of rows that hit. Extra columns are
-ignored. Empty tables: no hits.
+shingle to compare. Null ids: kept as they are (drop_contaminated judges rows, not ids). Repeated rows: one result row for
+each pair of rows that hit. Very long texts: only the candidates' shingles are kept of them. Extra columns are ignored.
+Empty tables: no hits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_bytes, exact_shingles, map_batches, materialize, only, shingles_of, stream
+from .common import chunks, column_bytes, exact_shingles, map_batches, materialize, minima, shingle_stream, shingles_of, slices, stream
 
 COORDINATES = 48
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SCHEMA = "doc_id long, item_id long, item_shingles long, shared long, containment double"
 
 
@@ -43,8 +47,7 @@ class Index:
             h, at = shingles_of([items[i][1] for i in members], k, short=False)
             tables = []
             for c in range(COORDINATES):
-                minima = np.minimum.reduceat(h * a[c] + b[c], at[:-1])
-                values, place = np.unique(minima, return_inverse=True)
+                values, place = np.unique(minima(h, at[:-1], a[c], b[c]), return_inverse=True)
                 holders: list[list[int]] = [[] for _ in values]
                 for i, p in zip(members, place, strict=True):
                     holders[p].append(i)
@@ -67,33 +70,35 @@ class Index:
                 first = np.concatenate(([0], np.cumsum(windows)))
                 begins = at[:-1][doc] + (np.arange(len(doc)) - first[doc]) * size
                 for a, b, values, holders in tables:
-                    minima = np.minimum.reduceat(h * a + b, begins)
-                    place = np.minimum(np.searchsorted(values, minima), len(values) - 1)
-                    for w in np.flatnonzero(values[place] == minima):
+                    least = minima(h, begins, a, b)
+                    place = np.minimum(np.searchsorted(values, least), len(values) - 1)
+                    for w in np.flatnonzero(values[place] == least):
                         found.update((int(doc[w]), i) for i in holders[place[w]])
             last, own = -1, set()
             for d, i in sorted(found):
-                if d != last:
-                    last, own = d, exact_shingles(part[d], self.k, short=False)
+                if d != last:  # only what a candidate holds is kept of a text, however long
+                    wanted = set().union(*(self.sets[j] for e, j in found if e == d))
+                    last, own = d, {s for s in shingle_stream(part[d], self.k) if s in wanted}
                 shared = len(own & self.sets[i])
                 if 100 * shared >= percent * len(self.sets[i]):
                     out.append((lo + d, i, len(self.sets[i]), shared))
         return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, item_id, item_shingles, shared, containment for each item found in a row of docs: narrow passes, no shuffle."""
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame, k: int):
+    """Broadcast item texts, BLOCK_BYTES of them at a time."""
+    spark = benchmark.sparkSession
     items = materialize(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1
-    out = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # BLOCK_BYTES, about
-        shared = spark.sparkContext.broadcast(sorted(((r.item_id, r.text.encode()) for r in mine), key=lambda x: (x[0] is None, x)))
-        hits = _pass(docs, shared, k, percent)
-        out = hits if out is None else out.union(hits)
-    return out
+        yield spark.sparkContext.broadcast(sorted(((r.item_id, r.text.encode()) for r in mine), key=lambda x: (x[0] is None, x)))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, item_id, item_shingles, shared, containment for each item found in a row of docs: narrow passes, no shuffle."""
+    return reduce(DataFrame.union, [_pass(docs, shared, k, percent) for shared in _indexes(benchmark, k)])
 
 
 def _pass(docs: DataFrame, shared, k: int, percent: int) -> DataFrame:
@@ -110,6 +115,18 @@ def _pass(docs: DataFrame, shared, k: int, percent: int) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs, with all its columns, without the documents in which an item is found."""
-    gone = materialize(find(docs, benchmark, k, percent).select("doc_id").distinct())
-    return only(docs, gone, "left_anti")
+    """docs, with all its columns, without the rows in which an item is found, whatever their ids: narrow passes."""
+    at, schema = docs.columns.index("text"), docs.schema
+    for shared in _indexes(benchmark, k):
+        built: list[Index] = []
+
+        def run(batches, shared=shared, built=built):
+            for batch in slices(batches):
+                if not built:
+                    built.append(Index(shared.value, k))
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[d for d, *_ in built[0].hits(column_bytes(batch.column(at)), percent)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

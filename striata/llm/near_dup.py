@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, column_bytes, discard, exact_shingles, heavy_join, heavy_keys, map_batches, materialize, minima, mix, only, shingles_of, sizes_of, slices, small, stream
+from .common import LONG_TEXT, chunks, column_bytes, discard, exact_shingles, heavy_join, heavy_keys, map_batches, materialize, minima, mix, only, overlap, shingles_of, sizes_of, slices, small, stream
 
 COORDINATES = 64
 #: The chance that a pair at the threshold itself collides less often than the match threshold.
@@ -146,11 +146,14 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
         for batch in slices(batches):
             distance, linked = [], []
             for x, y in zip(column_bytes(batch.column(2)), column_bytes(batch.column(3)), strict=True):
-                if x != last[0]:
-                    last = (x, exact_shingles(x, k))
-                other = exact_shingles(y, k)
-                shared = len(last[1] & other)
-                union = len(last[1]) + len(other) - shared
+                if max(len(x), len(y)) > LONG_TEXT:
+                    shared, union = overlap(x, y, k)
+                else:
+                    if x != last[0]:
+                        last = (x, exact_shingles(x, k))
+                    other = exact_shingles(y, k)
+                    shared = len(last[1] & other)
+                    union = len(last[1]) + len(other) - shared
                 distance.append(1 - shared / max(union, 1))
                 linked.append(bool(shared) and 100 * shared >= percent * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
