@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from striata.llm import decontaminate, language_model, license_scan, mixing, near_dup, quality, token_count, topk, toxicity, url_filter
+from striata.llm import decontaminate, labelled, language_model, license_scan, mixing, near_dup, quality, token_count, topk, toxicity, url_filter
 from striata.llm.common import exact_shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, n string"
@@ -84,12 +84,28 @@ def test_url_model_against_brute_force(spark):
         lower = p(n, context[1:], c) if context else 1 / url_filter.ALPHABET
         return (n["tail", context + c] + url_filter.STRENGTH * lower) / (n["context", len(context), context] + url_filter.STRENGTH)
 
-    got = {r.page_id: r.log_ratio for r in url_filter.filter_urls(pages).collect() if r.rule is None}
-    assert len(got) == len(free)
-    for j, u in enumerate(free):
+    got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    assert len(got) == len(urls + free)
+    mean = lambda n, s: np.mean([math.log2(p(n[1], s[i - order : i], s[i]) / p(n[0], s[i - order : i], s[i])) for i in range(order, len(s))])
+    full = [mean(counts, signs(u)) for u in free]
+    assert [got[len(urls) + j].log_ratio for j in range(len(free))] == pytest.approx(full, rel=1e-9)
+    # the cut: each training URL by the models of the other half
+    all_signs = spark.createDataFrame([(signs(u),) for u in urls], "s string")
+    half = {r.s: r.h for r in all_signs.select("s", F.pmod(F.xxhash64("s"), F.lit(2)).alias("h")).collect()}
+    halves = [(collections.Counter(), collections.Counter()) for _ in range(2)]
+    for u in urls:
         s = signs(u)
-        ratios = [math.log2(p(counts[1], s[i - order : i], s[i]) / p(counts[0], s[i - order : i], s[i])) for i in range(order, len(s))]
-        assert got[len(urls) + j] == pytest.approx(np.mean(ratios), rel=1e-9)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                halves[half[s]][".net" in u].update([("tail", s[i - k : i + 1]), ("context", k, s[i - k : i])])
+    held = [(".net" in u, mean(halves[1 - half[signs(u)]], signs(u))) for u in urls]
+    (m0, s0), (m1, s1) = ((np.mean(x), np.std(x)) for x in ([r for b, r in held if b == side] for side in (False, True)))
+    cut = (m0 * s1 + m1 * s0) / (s0 + s1)
+    assert [got[len(urls) + j].verdict for j in range(len(free))] == ["block" if r > cut else "allow" for r in full]
+    for limit in (0, 10**6):  # both ways of joining grams
+        url_filter.BROADCAST_GRAMS, before = limit, url_filter.BROADCAST_GRAMS
+        assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages).collect()} == {i: r.verdict for i, r in got.items()}
+        url_filter.BROADCAST_GRAMS = before
 
 
 def test_language_model(spark):
@@ -310,7 +326,28 @@ def test_decontaminate(spark):
             if s and 100 * len(s & own) >= 80 * len(s):
                 want.append((d, -1 if i is None else i, len(s & own)))
     assert got == sorted(want) and {x[0] for x in got} == {50, 52, 53}
-    assert decontaminate.drop_contaminated(frame(spark, rows), bench).where("doc_id in (50, 52, 53)").count() == 0
+    rows.append((None, rows[8][1], "a"))
+    for size in (decontaminate.BLOCK_BYTES, 100):  # one index, several
+        decontaminate.BLOCK_BYTES, before = size, decontaminate.BLOCK_BYTES
+        kept = decontaminate.drop_contaminated(frame(spark, rows), bench)
+        assert kept.columns == frame(spark, rows).columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t, _ in rows if i not in (50, 52, 53) and t != rows[8][1])
+        decontaminate.BLOCK_BYTES = before
+
+
+def test_sets_of_long_texts_are_compared_in_parts(monkeypatch):
+    from striata.llm import common
+
+    texts = [words(3000, 1, 500).encode(), words(3000, 2, 500).encode(), b"one two", b"", b"one  TWO"]
+    want = [common.overlap(x, y, 5) for x in texts for y in texts]
+    monkeypatch.setattr(common, "LONG_TEXT", 500)
+    monkeypatch.setattr(common, "CHUNK", 300)
+    assert want == [common.overlap(x, y, 5) for x in texts for y in texts]
+    assert list(common.shingle_stream(texts[0], 5)) == [b" ".join(texts[0].split()[i : i + 5]) for i in range(2996)]
+    monkeypatch.setattr(common, "BLOCK", 64)
+    h, at = common.shingles_of(texts, 5)
+    monkeypatch.undo()
+    h2, at2 = common.shingles_of(texts, 5)
+    assert (h == h2).all() and (at == at2).all()
 
 
 def test_classifiers(spark):
@@ -325,6 +362,15 @@ def test_classifiers(spark):
     assert len(q) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in q)
     held = [r for r in q if r.doc_id is not None and r.doc_id >= 200]
     assert np.mean([r.predicted == int(r.doc_id % 4 != 0) for r in held]) > 0.95
+    model = toxicity.fit(df, labels)
+    for r in toxicity.score(df, model).collect():
+        text = next(t or "" for i, t, _ in rows if i == r.doc_id).lower() if r.doc_id != 6 else words(60, 3)
+        n = collections.Counter(p for w in toxicity.WORD.findall(text) for p in toxicity.parts(w))
+        s = sum(w for p, steps in model.weights.items() for level, w in steps if n[p] >= level)
+        over = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        assert r.expected_severity == pytest.approx(sum(over)) and r.toxic == (over[0] >= toxicity.CUTOFF)
+    few = labelled.labelled_sample(df.union(df), labels, "toxic", 10)
+    assert few.count() == 10 and few.select("doc_id").distinct().count() == 10
     none = labels.limit(0)
     assert not any(r.toxic for r in toxicity.score(df, toxicity.fit(df, none)).collect())
     assert {r.score for r in quality.score(df, quality.fit(df, none)).collect()} == {0.5}
