@@ -122,40 +122,59 @@ def test_language_model(spark):
     assert all(r.train_tokens == n and r.held_out == held(r.doc_id) and r.score < 0 for r in got)
 
 
-def test_context_tree_is_a_distribution_and_weights_as_defined():
-    import pandas as pd
-
-    text = b"abracadabra abracadabra"
-    pairs = collections.Counter()
-    for key in language_model.context_keys([text]).tolist():
-        for d in range(3):
-            pairs[d, (key >> 8) >> (8 * (language_model.DEPTH - d)), key & 255] += 1
-    contexts = sorted({(d, c) for d, c, _ in pairs})
-    number = {c: i for i, c in enumerate(contexts)}
-    tree = language_model.Tree(contexts, pd.DataFrame([(number[d, c], b, n) for (d, c, b), n in pairs.items()], columns=["node", "byte", "n"]))
-    assert np.allclose((10.0 ** tree.log10.astype(float)).sum(1), 1, atol=1e-4)
-    # the first decision at the root, by the recursive definition
+@pytest.mark.parametrize("small", [False, True])
+def test_context_tree_weights_as_defined(spark, monkeypatch, small):
+    """Every text's score by the recursive definition of the weighted mixture, over all contexts of the training texts."""
+    if small:  # nothing is broadcast, blocks and pieces are small
+        from striata.llm import common
+
+        for name, value in (("FREQUENT", 5), ("KEYS_AT_ONCE", 3), ("ROWS_AT_ONCE", 2), ("HELD", 10)):
+            monkeypatch.setattr(language_model, name, value)
+        monkeypatch.setattr(common, "CHUNK", 7)
+    texts = [b"abracadabra abracadabra", b"", "été à la mer".encode(), b"abra", b"zzz\x00 unseen", b"abracadabra"]
+    rows = [(i, t.decode(), "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in language_model.score(frame(spark, rows), F.col("doc_id") < 4).collect()}
+    depth, end = language_model.DEPTH, language_model.END
+    symbols = lambda t: [end] * depth + list(t) + [end]
+    counts = collections.Counter()  # (context nearest last, decision) -> [zeros, ones]
+    for t in texts[:4]:
+        s = symbols(t)
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                for known in range(8):
+                    counts[tuple(s[i - d : i]), known, s[i] >> (8 - known), (s[i] >> (7 - known)) & 1] += 1
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    def walk(d, c, nxt):
-        zero = sum(n for (e, k, b), n in pairs.items() if (e, k) == (d, c) and b < 128)
-        one = sum(n for (e, k, b), n in pairs.items() if (e, k) == (d, c) and b >= 128)
-        own = kt(zero, one)
-        kids = [k for e, k in contexts if e == d + 1 and k >> 8 == c] if d < 2 else []
-        if not kids:
-            return own, (one + 0.5) / (zero + one + 1)
-        below, p = 0.0, 0.5  # off the path p is not used
-        for k in kids:
-            w, q = walk(d + 1, k, nxt)
-            below += w
-            p = q if k == nxt[d] else p
-        both = np.logaddexp(own, below) - math.log(2)
-        share = math.exp(own - math.log(2) - both)
-        return both, share * (one + 0.5) / (zero + one + 1) + (1 - share) * p
-
-    _, p = walk(0, 0, {0: ord("a"), 1: ord("a") << 8 | ord("r")})
-    got = (10.0 ** tree.log10[number[2, ord("a") << 8 | ord("r")]].astype(float))[128:].sum()
-    assert got == pytest.approx(p, rel=1e-3)
+    children = collections.defaultdict(set)
+    for c, *_ in counts:
+        if c:
+            children[c[1:]].add(c)
+    memo: dict = {}
+
+    def weighted(c, known, prefix):
+        if (key := (c, known, prefix)) not in memo:
+            own = kt(counts[c, known, prefix, 0], counts[c, known, prefix, 1])
+            if len(c) < depth:
+                own = np.logaddexp(own, sum(weighted(k, known, prefix) for k in children[c])) - math.log(2)
+            memo[key] = own
+        return memo[key]
+
+    def one(path, d, known, prefix):
+        c = tuple(path[len(path) - d :])
+        zeros, ones = counts[c, known, prefix, 0], counts[c, known, prefix, 1]
+        own = (ones + 0.5) / (zeros + ones + 1)
+        if d == depth:
+            return own
+        share = math.exp(kt(zeros, ones) - math.log(2) - weighted(c, known, prefix))
+        return share * own + (1 - share) * one(path, d + 1, known, prefix)
+
+    for i, t in enumerate(texts):
+        s, total = symbols(t), 0.0
+        for j in range(depth, len(s)):
+            for known in range(8):
+                p = one(s[j - depth : j], 0, known, s[j] >> (8 - known))
+                total += math.log10(p if (s[j] >> (7 - known)) & 1 else 1 - p)
+        assert got[i].score == pytest.approx(total, rel=1e-9) and got[i].held_out == (i >= 4)
+        assert got[i].bits_per_byte == pytest.approx(-total * math.log2(10) / (len(t) + 1))
 
 
 def test_mixing(spark):
