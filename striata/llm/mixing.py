@@ -6,50 +6,62 @@ ordered by finish time, are taken until the budget is reached: the mix ends with
 A copy whose source has reached its target before it isn't queued, so words that one source can't give (its next
 document is longer than what is left) don't go to others beyond their targets.
 
-Nothing is sorted in one place: a source's running sum adds a window inside each (source, hash range) to the sums of the
-ranges before it, and the global order is ranges of finish time, of which only the one that holds the end is looked into;
-while it holds more than SORT_ROWS copies, it is divided by ranges of the whole key again.
+Nothing is sorted in one place: a source's running sum adds a window inside each (source, hash range) of about WINDOW_ROWS
+documents to the sums of the ranges before it, which are themselves summed in groups of GROUP ranges; the global order is
+ranges of finish time, of which only the one that holds the end is looked into; while it holds more than SORT_ROWS copies,
+it is divided by ranges of the whole key again.
 
 Sizes: white-space words (space, \\x09-\\x0D); null or empty text: 0, never taken. Null source: a source of its own, last.
 Equal finish times: smaller source rank, then hash, then doc_id first. Repeated rows: each is a document of its own; rows
-alike in doc_id, source and size are interchangeable. Null doc_id: kept. Empty table: no rows. Extra columns are ignored
-(pass them in keep to have them in the result).
+alike in doc_id, source and text are interchangeable. Null doc_id: kept, shuffled by the row too, as many may be alike. Very
+long texts: counted in pieces. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, materialize, slices
+from .common import column_bytes, heavy_join, heavy_keys, materialize, pieces, slices
 
 #: Weights of the sources by rank, repeating.
 WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's size, and a document is taken as often at most.
 MOST_EPOCHS = 3
-#: Documents that one window holds, about; ranges of finish time.
-WINDOW_ROWS = 4096
+#: Documents that one window holds, about; hash ranges that are summed together; ranges of finish time.
+WINDOW_ROWS = 512
+GROUP = 1024
 TIME_RANGES = 1 << 16
+#: Sources whose targets are broadcast at most; beyond, their join shuffles.
+BROADCAST_SOURCES = 100_000
 #: Copies around the end of the mix that one task sorts.
 SORT_ROWS = 200_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """row, doc_id, source, size of each row of docs."""
+    """row, doc_id, source, size, salt (the text's hash) of each row of docs."""
     import pyarrow as pa
 
-    names = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+    names = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("salt", pa.int64())])
 
     def run(batches):
         for batch in slices(batches):
-            sizes = pa.array([len(t.split()) for t in column_bytes(batch.column(3))], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), sizes], schema=names)
+            texts = column_bytes(batch.column(3))
+            sizes = pa.array([sum(len(x.split()) for x in pieces(t)) for t in texts], type=pa.int64())
+            salts = pa.array([xxhash.xxh3_64_intdigest(t) - 2**63 for t in texts], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), sizes, salts], schema=names)
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(run, "row long, doc_id long, source string, size long")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(run, "row long, doc_id long, source string, size long, salt long")
+
+
+def shuffled(seed: int) -> Column:
+    """A document's place in its source's queue: 63 bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size", "salt", F.when(F.col("doc_id").isNull(), F.col("row"))), 1)
 
 
 def ranked(sources: DataFrame) -> DataFrame:
-    """sources (materialised: source, source_size) with rank, from 0, by code point, null last; ranges are sorted apart."""
+    """sources (materialised: source, source_size, n) with rank, from 0, by code point, null last; ranges are sorted apart."""
     spark = sources.sparkSession
     # UTF-8 binary order is code point order
     parts = materialize(sources.withColumn("last", F.col("source").isNull()).repartitionByRange(max(1, min(64, sources.count() // 10_000 + 1)), "last", "source").withColumn("part", F.spark_partition_id()))
@@ -59,7 +71,7 @@ def ranked(sources: DataFrame) -> DataFrame:
         offsets.append((part, start))
         start += n
     inside = F.row_number().over(Window.partitionBy("part").orderBy("last", "source")) - 1
-    return parts.withColumn("inside", inside).join(F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "part int, start long")), "part").select("source", "source_size", (F.col("start") + F.col("inside")).cast("long").alias("rank"))
+    return parts.withColumn("inside", inside).join(F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "part int, start long")), "part").select("source", "source_size", "n", (F.col("start") + F.col("inside")).cast("long").alias("rank"))
 
 
 def with_targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -89,19 +101,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: int = 1
 
 def mix_sized(rows: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: int = 17, sort_rows: int = SORT_ROWS) -> DataFrame:
     sources = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
-    targets = materialize(with_targets(ranked(sources.drop("n")), weights, most))
     total = sources.agg(F.sum("n"), F.sum("source_size")).first()
     if not total[0]:
         return rows.select("row", "doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
-    few = sources.count() <= 100_000
-    ranges = max(1, -(-total[0] // WINDOW_ROWS))
-    shuffled = F.xxhash64(F.lit(seed), "doc_id", "size")
-    key = rows.withColumn("hash", shuffled).withColumn("range", F.pmod(F.shiftrightunsigned("hash", 20), F.lit(ranges)).cast("long"))
-    keyed = key.join(F.broadcast(targets) if few else targets, key["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    before = key.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
-    before = before.withColumn("before", F.sum("in_range").over(Window.partitionBy("source").orderBy("range")) - F.col("in_range")).withColumnRenamed("source", "s").withColumnRenamed("range", "r").drop("in_range")
-    inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("hash", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
-    at = keyed.withColumn("inside", inside).join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    not_null = lambda df: df.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    ranks = materialize(ranked(sources))
+    targets = materialize(not_null(with_targets(ranks, weights, most)).select("name", "source_size", "target", "rank", F.ceil(F.col("n") / WINDOW_ROWS).alias("ranges")))
+    few = targets.count() <= BROADCAST_SOURCES
+    heavy = None if few else heavy_keys(not_null(sources).select("name", "n"), ["name"])
+    # a range is a run of hashes, so the order of (range, hash) is that of the hash
+    place = F.shiftright(F.shiftrightunsigned("hash", 32) * F.col("ranges"), 31)
+    keyed = heavy_join(not_null(rows).withColumn("hash", shuffled(seed)), F.broadcast(targets) if few else targets, ["name"], heavy).withColumn("range", place)
+    sums = keyed.groupBy("rank", "range").agg(F.sum("size").alias("in_range")).withColumn("group", F.floor(F.col("range") / GROUP))
+    groups = sums.groupBy("rank", "group").agg(F.sum("in_range").alias("in_group"))
+    groups = groups.select("rank", "group", (F.sum("in_group").over(Window.partitionBy("rank").orderBy("group")) - F.col("in_group")).alias("groups_before"))
+    in_group = F.sum("in_range").over(Window.partitionBy("rank", "group").orderBy("range")) - F.col("in_range")
+    before = sums.withColumn("ranges_before", in_group).join(groups, ["rank", "group"]).select("rank", "range", (F.col("groups_before") + F.col("ranges_before")).alias("before"))
+    inside = F.sum("size").over(Window.partitionBy("rank", "range").orderBy("hash", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
+    at = keyed.withColumn("inside", inside).join(before, ["rank", "range"])
     queued = materialize(at.select("row", "doc_id", "source", "size", "source_size", "target", "rank", "hash", (F.col("before") + F.col("inside")).alias("end")))
     taken = _take(queued, int(total[1]), most, sort_rows)
     return queued.select("row", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
