@@ -5,7 +5,8 @@ a byte vocabulary. The trie of the pieces has failure links and, for each node,
 link is taken (Song et al. 2021), so a word's length is counted in one pass over its bytes and no piece is built.
 A byte that isn't in the vocabulary is a piece of its own.
 
-Null or empty text: 0. Null doc_id: kept. Repeated rows: one result row each. Extra columns are ignored.
+Null or empty text: 0. Null doc_id: kept. Repeated rows: one result row each. Very long texts: taken in pieces. Empty table:
+no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, map_batches
+from .common import column_bytes, map_batches, pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words whose lengths a task remembers; beyond it the memory is emptied.
@@ -95,7 +96,14 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def work(batch):
         if not memory:
             memory.append(_Memory(Automaton(shared.value)))
-        words = [t.split() for t in column_bytes(batch.column(1))]
-        return {"doc_id": batch.column(0), "n_words": [len(w) for w in words], "n_tokens": [sum(map(memory[0].__getitem__, w)) for w in words]}
+        length, n_words, n_tokens = memory[0].__getitem__, [], []
+        for text in column_bytes(batch.column(1)):
+            n = tokens = 0
+            for piece in pieces(text):
+                words = piece.split()
+                n, tokens = n + len(words), tokens + sum(map(length, words))
+            n_words.append(n)
+            n_tokens.append(tokens)
+        return {"doc_id": batch.column(0), "n_words": n_words, "n_tokens": n_tokens}
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n_words long, n_tokens long")
