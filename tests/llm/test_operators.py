@@ -38,6 +38,48 @@ def test_license_scan(spark):
     assert (got[13].n_base, got[13].first_word, got[1].n_words, got[1].score) == (0, None, 0, 0.0)
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 60])
+def test_license_labels_against_brute_force(monkeypatch, chunk):
+    """Every template whole, with altered words, twice, and overlapping others: all templates are tried at all places."""
+    from striata.llm import common
+
+    monkeypatch.setattr(common, "CHUNK", chunk)
+    index, r = license_scan.Index(), np.random.RandomState(3)
+    for n, (label, template, _) in enumerate(license_scan.TEMPLATES + [(x, p, []) for p, x in license_scan.BASE_PHRASES.items()]):
+        whole = template.split()
+        for alter in range(4):
+            w = [x if alter == 0 or r.rand() > 0.12 * alter else f"other{r.randint(9)}" for x in whole]
+            text = " ".join([words(r.randint(0, 30), n), *w, words(r.randint(0, 8), n), "Under the MIT-License,", *w[: r.randint(len(w) + 1)], words(5, n)])
+            got, found = index.scan(text.encode()), license_scan.WORD.findall(text.lower().encode())
+            labels, base, starts, best = set(), set(), [], 0.0
+            for t, (kind, words_, keys, is_base) in enumerate(index.entries):
+                for at in range(-len(words_), len(found) + 1):
+                    here = found[max(0, at) : max(0, at + len(words_))]
+                    holds = all(any(here[i : i + len(k)] == k for i in range(len(here))) for k in keys)
+                    share = sum(index.idf[x] for p, x in enumerate(words_) if 0 <= at + p < len(found) and found[at + p] == x) / index.total[t]
+                    if is_base and here == words_:
+                        base.add(kind)
+                        starts.append(at)
+                        best = 1.0
+                    elif not is_base and share >= 0.6 and holds:
+                        labels.add(kind)
+                        best = max(best, share)
+            assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == (len(found), len(starts), min(starts, default=None), max(starts, default=None))
+            assert (got["base_labels"], got["labels"]) == (",".join(sorted(base)), ",".join(sorted(base | labels))) and got["score"] == pytest.approx(min(1, best))
+            if alter == 0:
+                assert label in got["labels"].split(",")
+
+
+def test_long_texts_have_the_same_features_in_pieces(monkeypatch):
+    from striata.llm import common
+
+    texts = [words(3000, 4).encode(), b"", b"A b! " * 400]
+    want, counts = quality.features(texts), [toxicity.Stems({"w1": 0, "w12": 1}).count(t) for t in texts]
+    assert (want[:1] == quality.features(texts[:1])).all() and (want[2:] == quality.features(texts[2:])).all()
+    monkeypatch.setattr(common, "CHUNK", 100)
+    assert (want == quality.features(texts)).all() and counts == [toxicity.Stems({"w1": 0, "w12": 1}).count(t) for t in texts]
+
+
 def test_token_count(spark):
     pieces = token_count.load_vocabulary()
     known, longest = set(pieces) | {bytes([b]) for b in range(256)}, max(map(len, pieces))
@@ -382,8 +424,9 @@ def test_classifiers(spark):
     held = [r for r in q if r.doc_id is not None and r.doc_id >= 200]
     assert np.mean([r.predicted == int(r.doc_id % 4 != 0) for r in held]) > 0.95
     model = toxicity.fit(df, labels)
-    for r in toxicity.score(df, model).collect():
-        text = next(t or "" for i, t, _ in rows if i == r.doc_id).lower() if r.doc_id != 6 else words(60, 3)
+    text_of = {i: t for i, t, _ in rows[:300]}
+    for r in toxicity.score(df.where("doc_id > 9"), model).collect():
+        text = text_of[r.doc_id].lower()
         n = collections.Counter(p for w in toxicity.WORD.findall(text) for p in toxicity.parts(w))
         s = sum(w for p, steps in model.weights.items() for level, w in steps if n[p] >= level)
         over = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
