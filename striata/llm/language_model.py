@@ -37,12 +37,12 @@ from .labelled import crc_of
 DEPTH = 5
 #: Depths at which the tree is cut into subtrees: below the second, between both, above the first.
 CUT = (1, 3)
-#: Keys, and tokens, that may be broadcast with their values (16 bytes each).
+#: Keys, and tokens, that may be broadcast with their values (up to 64 bytes each, as a hash table).
 FREQUENT = 1 << 20
 END = 0xFF  # never a byte of UTF-8
 END_TOKEN = int(stream(41, 1).view(np.int64)[0])
 #: Distinct keys that a counting task holds before it passes them on.
-HELD = 1_500_000
+HELD = 500_000
 #: Keys, or rows of three-byte contexts, that are weighted at once; a subtree is never divided.
 KEYS_AT_ONCE, ROWS_AT_ONCE = 1 << 17, 1 << 9
 LN2 = float(np.log(2))
@@ -437,18 +437,15 @@ def score(docs: DataFrame, training: Column | None = None) -> DataFrame:
     worth = F.log10((F.col("n") + 0.5) / F.lit(floor))
     of_keys, rare_keys = most_frequent(contexts)
     of_tokens, rare_tokens = most_frequent(tokens.withColumn("value", worth))
-    shared = spark.sparkContext.broadcast((of_keys, of_tokens))
+    shared = spark.sparkContext.broadcast((Table(*of_keys), Table(*of_tokens)))
     end = np.array([END_TOKEN], dtype=np.int64).view(np.uint64)
-    built: list[Table] = []
 
     def run(batches):
-        if not built:
-            built.extend(Table(*x) for x in shared.value)
         for batch in slices(batches):
             texts = column_bytes(batch.column(1))
             for lo, hi in chunks(texts):
                 part = texts[lo:hi]
-                of_context, of_token = (Sums(t, hi - lo) for t in built)
+                of_context, of_token = (Sums(t, hi - lo) for t in shared.value)
                 for keys, doc in context_keys(part):
                     of_context.add(keys, doc)
                 h, at = words_of(part)
