@@ -268,18 +268,26 @@ def test_mixing_cuts_among_equal_finish_times(spark, budget):
     assert {tuple(mixing._first_beyond(df, 500, budget, limit)) for limit in (16, 1000)} == {want}
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k(spark, monkeypatch, small):
+    if small:  # several passes, small tiles, lengths without pivots
+        for name, value in (("QUERY_BYTES", 200), ("TILE", 7), ("TILES", 3), ("QUERIES", 2), ("PIVOT_BYTES", 30_000), ("SAMPLE", 30)):
+            monkeypatch.setattr(topk, name, value)
     r = np.random.RandomState(5)
     x = [(i, r.randn(8).tolist()) for i in range(400)] + [(50, r.randn(8).tolist()), (900, [0.1] * 8), (901, [0.1] * 8), (100_000, [1.0, 2.0])]
-    x += [(2, None), (3, [1.0, None] * 4), (4, [float("nan")] * 8), (None, [0.2] * 8)]
+    x += [(i, r.randn(3).round(1).tolist()) for i in range(500, 600)] + [(i, [0.5, 0.25] * 3) for i in range(700, 760)]
+    x += [(i, [2.0**20 * (i % 7), 3.0, 1.0, 0.0]) for i in range(1000, 1060)]  # products beyond the doubles that are exact
+    x += [(2, None), (3, [1.0, None] * 4), (4, [float("nan")] * 8), (None, [0.2] * 8), (50, []), (150, [])]
     got = sorted(map(tuple, topk.top_k(spark.createDataFrame([(i, v, 1, 2) for i, v in x], "vec_id long, embedding array<float>, n int, score int")).collect()))
-    ok = [(i, [math.floor(256 * float(np.float32(c))) for c in v]) for i, v in x if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    ok = [(i, [math.floor(256 * float(np.float32(c))) for c in v]) for i, v in x if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
     want = []
     for q, v in ok:
         if q % 50 == 0:
             best = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v)))[:5]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert got == sorted(want)
+    empty = spark.createDataFrame([(50, []), (51, [])], "vec_id long, embedding array<float>")
+    assert topk.top_k(empty).count() == 0
 
 
 def near_rows():
