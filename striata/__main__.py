@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import logging
 
+from pyspark.sql import SparkSession
+
 from .operators import sink
 from .session import session
 
@@ -23,10 +25,10 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if args.debug else logging.WARNING)
-    spark = session()
+    spark = spark or session()
     spark.sparkContext.setLogLevel("INFO" if args.debug else "ERROR")
     if args.metadata:
         sink.dump_metadata(spark, args.file, args.row_group_metadata)

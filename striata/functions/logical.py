@@ -20,16 +20,16 @@ def decimal(unscaled: Column, scale: int, precision: int = 18) -> Column:
 
 
 def integer_of_bytes(value: Column) -> Column:
-    """Big-endian two's complement bytes (up to 16) as decimal(38,0)."""
+    """Big-endian two's complement bytes (up to 16) as decimal(38,0); empty is 0. A negative one is -(its inverted bits) - 1, which never leaves 16 bytes."""
     text = F.hex(value)
+    negative = F.conv(F.substring(text, 1, 1), 16, 10).cast("int") >= 8
+    bits = F.when(negative, F.translate(text, "0123456789ABCDEF", "FEDCBA9876543210")).otherwise(text)
+    padded = F.lpad(bits, 32, "0")
     total = F.lit(0).cast("decimal(38,0)")
-    padded = F.lpad(text, 32, "0")
     for i in range(4):
         part = F.conv(F.substring(padded, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
         total = (total * F.lit(2**32).cast("decimal(11,0)")).cast("decimal(38,0)") + part
-    negative = F.conv(F.substring(text, 1, 1), 16, 10).cast("int") >= 8
-    span = F.element_at(F.array(*(F.lit(str(256**n)).cast("decimal(38,0)") for n in range(1, 16))), F.greatest(F.octet_length(value), F.lit(1)))
-    return F.when(F.octet_length(value) == 0, F.lit(0)).when(negative, total - span).otherwise(total).cast("decimal(38,0)")
+    return F.when(F.octet_length(value) == 0, F.lit(0)).when(negative, F.lit(-1).cast("decimal(38,0)") - total).otherwise(total).cast("decimal(38,0)")
 
 
 def decimal_of_bytes(value: Column, scale: int) -> Column:
@@ -114,6 +114,10 @@ def convert(value: Column, converted_type: str | None, scale: int = 0, precision
     simple = {"DATE": date, "TIME_MILLIS": time_millis, "TIMESTAMP_MILLIS": timestamp_millis, "UTF8": utf8, "JSON": json_value, "BSON": bson_value, "INTERVAL": interval_parts}
     if converted_type == "DECIMAL":
         return decimal(value, scale, precision)
+    if converted_type == "DECIMAL_BYTES":
+        return decimal_of_bytes(value, scale)
+    if converted_type == "INT96":
+        return int96_raw(value)
     if converted_type and converted_type.startswith("UINT_"):
         return unsigned(value, int(converted_type[5:]))
     return simple[converted_type](value) if converted_type in simple else value

@@ -8,6 +8,7 @@ from typing import TextIO
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.logical import utf8
 from ..sources.scan import scan
 from .limit import first_rows
 
@@ -17,8 +18,8 @@ TSV = {"sep": "\t", "quote": "'", "escape": "'", "emptyValue": "", "nullValue":
 
 
 def _text(df: DataFrame) -> DataFrame:
-    """Bytes as UTF-8 text."""
-    return df.select(*(F.col(f"`{c}`").cast("string").alias(c) if kind == "binary" else F.col(f"`{c}`") for c, kind in df.dtypes))
+    """Bytes as UTF-8 text; bytes that aren't UTF-8 are an error."""
+    return df.select(*(utf8(F.col(f"`{c}`")).alias(c) if kind == "binary" else F.col(f"`{c}`") for c, kind in df.dtypes))
 
 
 def lines(df: DataFrame, fmt: str) -> DataFrame:
@@ -60,11 +61,11 @@ def dump(spark, path: str, fmt: str = "csv", limit: int = -1, columns: list[str]
 
 
 def dump_metadata(spark, path: str, row_groups: bool = False, out: TextIO | None = None) -> None:
-    """Levels file, kv and schema as text; with row_groups also row_group, chunk and page."""
+    """Levels file, kv and element (the schema tree) as text; with row_groups also row_group, chunk and page."""
     from ..sources.colmeta import metadata
 
     out = out or sys.stdout
-    for level in ("file", "kv", "schema", *(("row_group", "chunk", "page") if row_groups else ())):
+    for level in ("file", "kv", "element", *(("row_group", "chunk", "page") if row_groups else ())):
         df = metadata(spark, path, level)
         out.write(f"{level}\n")
         found = False
@@ -73,3 +74,27 @@ def dump_metadata(spark, path: str, row_groups: bool = False, out: TextIO | None
             out.write("  " + ", ".join(f"{k}={v}" for k, v in row.asDict().items() if k != "file" or level == "file") + "\n")
         if not found:
             out.write("  (none)\n")
+
+
+def write_columnar(df: DataFrame, path: str, schema, **options) -> None:
+    """Files of df in the folder path, a task each, with the types and annotations of an Arrow schema (by position) and pyarrow's writer options.
+
+    For what Spark's writer can't write: times, unsigned numbers, single encodings, page versions.
+    """
+    import uuid
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from ..sources.colmeta import _open
+
+    def run(batches):
+        table = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, names=schema.names) for b in batches] or [], schema=None) if (batches := list(batches)) else None
+        if table is not None and table.num_rows:
+            system, inner = _open(path)
+            system.create_dir(inner, recursive=True)
+            with system.open_output_stream(f"{inner}/part-{uuid.uuid4().hex}.parquet") as out:
+                pq.write_table(table.cast(schema), out, **options)
+        yield pa.RecordBatch.from_arrays([pa.array([0 if table is None else table.num_rows], pa.int64())], names=["n"])
+
+    df.mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -9,9 +9,11 @@ SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.caseSensitive": "tru
 
 
 def configured(spark: SparkSession) -> SparkSession:
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark
+    """A session beside the caller's, with these settings and the caller's shuffle partitions; the caller's stays as it is."""
+    own = spark.newSession()
+    for key, value in {**SETTINGS, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
+        own.conf.set(key, value)
+    return own
 
 
 def session(master: str = "local[*]", app: str = "striata") -> SparkSession:

@@ -1,7 +1,8 @@
 """File metadata as a data source: spark.read.format("colmeta").option("level", ...).load(path).
 
-A partition for each file; footers are read where the task runs and only headers of pages, never bodies. Levels: file,
-kv, schema, row_group, chunk, page.
+A partition for each file; footers are read where the task runs, by ranged reads, and only headers of pages, never bodies
+(but for level value). Levels: magic, file, kv, element (the schema tree with groups), schema (leaves), row_group, chunk,
+page, value (every entry of every column, by the byte-level decoders).
 """
 
 from __future__ import annotations
@@ -9,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .footer import FormatError, pages
+from .footer import FormatError, edges, elements, pages, read_footer
 
 SCHEMAS = {
+    "magic": "file string, header_ok boolean, footer_ok boolean, footer_size bigint",
+    "element": "file string, position int, path string, name string, type string, type_length int, repetition string, num_children int, converted_type string, logical_type string, scale int, precision int, max_definition_level int, max_repetition_level int",
+    "value": "file string, row_group int, column int, path string, entry bigint, repetition_level int, definition_level int, integer bigint, number double, bytes binary, int96 decimal(38,0)",
     "file": "file string, version string, created_by string, num_rows bigint, num_row_groups int, num_columns int, footer_size bigint",
     "kv": "file string, key string, value string",
     "schema": "file string, position int, path string, name string, physical_type string, type_length int, converted_type string, logical_type string, repetition string, max_definition_level int, max_repetition_level int",
@@ -24,14 +28,15 @@ SCHEMAS = {
 def _open(path: str):
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return system, inner
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def files_of(path: str) -> list[str]:
     from pyarrow import fs
 
-    system, inner = _open(path.replace("file:/", "/", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    system, inner = _open(path)
     head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     info = system.get_file_info(inner)
     if info.type == fs.FileType.File:
@@ -53,6 +58,20 @@ def relation(path: str, level: str):
 
     system, inner = _open(path)
     with system.open_input_file(inner) as handle:
+        size, read = handle.size(), lambda at, n: handle.read_at(n, at)
+        if level == "magic":
+            yield (path, *edges(read, size))
+            return
+        if level in ("element", "value"):
+            footer = read_footer(read, size, path)
+            if level == "value":
+                from .values import batches
+
+                yield from batches(read, footer, path)
+                return
+            for e in elements(footer):
+                yield (path, *e.values())
+            return
         try:
             meta = pq.ParquetFile(handle).metadata
         except ArrowInvalid as e:

@@ -1,4 +1,4 @@
-"""Footers and page headers: magic bytes and sizes as expressions, page headers by a small compact-protocol reader."""
+"""Footers and page headers by a small compact-protocol reader over ranged reads."""
 
 from __future__ import annotations
 
@@ -6,20 +6,41 @@ import struct
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 class FormatError(ValueError):
     """The bytes aren't of this format, or use a part of it that isn't supported."""
 
 
+MAGIC = b"PAR1"
+
+
+def edges(read, size: int) -> tuple[bool, bool, int | None]:
+    """Whether a file of so many bytes starts and ends with the magic bytes, and its footer's size; read(offset, n) gives bytes."""
+    if size < 12:
+        return size >= 4 and read(0, 4) == MAGIC, False, None
+    tail = read(size - 8, 8)
+    return read(0, 4) == MAGIC, tail[4:] == MAGIC, int.from_bytes(tail[:4], "little")
+
+
+def read_footer(read, size: int, path: str = "file") -> dict[int, Any]:
+    """The file's metadata struct, by field id, from a few ranged reads; anything wrong with the file's edges is a FormatError."""
+    header_ok, footer_ok, length = edges(read, size)
+    if not (header_ok and footer_ok):
+        raise FormatError(f"{path} doesn't start and end with {MAGIC.decode()}")
+    if length is None or length + 12 > size:
+        raise FormatError(f"{path}: a footer of {length} bytes doesn't fit")
+    try:
+        return Compact(read(size - 8 - length, length)).struct()
+    except IndexError:
+        raise FormatError(f"{path}: truncated footer") from None
+
+
 def magic(spark: SparkSession, path: str) -> DataFrame:
-    """path, header_ok, footer_ok, footer_size of each file. Whole files are read: for looking at suspects, not for scans."""
-    ok = lambda at: F.coalesce(F.substring("content", at, 4) == F.lit(b"PAR1"), F.lit(False))
-    little = F.reverse(F.hex(F.substring("content", -8, 4)))
-    size = F.conv(F.concat(*(F.reverse(F.substring(little, i, 2)) for i in (1, 3, 5, 7))), 16, 10).cast("long")
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", ok(1).alias("header_ok"), (ok(-4) & (F.col("length") >= 4)).alias("footer_ok"), F.when(F.col("length") >= 12, size).alias("footer_size"))
+    """file, header_ok, footer_ok, footer_size of each file, by ranged reads of 12 bytes."""
+    from .colmeta import metadata
+
+    return metadata(spark, path, "magic")
 
 
 class Compact:
@@ -80,6 +101,12 @@ class Compact:
 
 
 # Names of the format's enumerations, by number.
+TYPES = ["BOOLEAN", "INT32", "INT64", "INT96", "FLOAT", "DOUBLE", "BYTE_ARRAY", "FIXED_LEN_BYTE_ARRAY"]
+REPETITIONS = ["REQUIRED", "OPTIONAL", "REPEATED"]
+CONVERTED = ["UTF8", "MAP", "MAP_KEY_VALUE", "LIST", "ENUM", "DECIMAL", "DATE", "TIME_MILLIS", "TIME_MICROS", "TIMESTAMP_MILLIS", "TIMESTAMP_MICROS", "UINT_8", "UINT_16", "UINT_32", "UINT_64", "INT_8", "INT_16", "INT_32", "INT_64", "JSON", "BSON", "INTERVAL"]
+LOGICAL = {1: "STRING", 2: "MAP", 3: "LIST", 4: "ENUM", 5: "DECIMAL", 6: "DATE", 7: "TIME", 8: "TIMESTAMP", 10: "INTEGER", 11: "UNKNOWN", 12: "JSON", 13: "BSON", 14: "UUID", 15: "FLOAT16"}
+UNITS = {1: "MILLIS", 2: "MICROS", 3: "NANOS"}
+CODECS = ["UNCOMPRESSED", "SNAPPY", "GZIP", "LZO", "BROTLI", "LZ4", "ZSTD", "LZ4_RAW"]
 PAGE_TYPES = ["DATA_PAGE", "INDEX_PAGE", "DICTIONARY_PAGE", "DATA_PAGE_V2"]
 ENCODINGS = ["PLAIN", None, "PLAIN_DICTIONARY", "RLE", "BIT_PACKED", "DELTA_BINARY_PACKED", "DELTA_LENGTH_BYTE_ARRAY", "DELTA_BYTE_ARRAY", "RLE_DICTIONARY", "BYTE_STREAM_SPLIT"]
 
@@ -113,6 +140,39 @@ def pages(read, start: int, end: int) -> list[dict]:
             "value_encoding": name_of(ENCODINGS, body.get(4 if v2 else 2)),
             "def_level_encoding": "RLE" if v2 else name_of(ENCODINGS, body.get(3)) if kind == "DATA_PAGE" else None,
             "rep_level_encoding": "RLE" if v2 else name_of(ENCODINGS, body.get(4)) if kind == "DATA_PAGE" else None,
+            "body": at + reader.at, "header": body,
         })
         at += reader.at + head[3]
     return out
+
+
+def logical_name(union: dict[int, Any] | None) -> str | None:
+    """The name of a logical type, with its unit for times: TIME_MILLIS also where no converted type says it."""
+    if not union:
+        return None
+    number, fields = next(iter(union.items()))
+    name = LOGICAL.get(number, str(number))
+    return f"{name}_{UNITS[next(iter(fields[2]))]}" if number in (7, 8) and fields.get(2) else name
+
+
+def elements(meta: dict[int, Any]) -> list[dict]:
+    """The schema tree in order, the root first: each element's fields, its path, and its maximal levels."""
+    flat, out = meta[2], []
+
+    def walk(at: int, path: list[str], definition: int, repetition: int) -> int:
+        e = flat[at]
+        kind = name_of(REPETITIONS, e.get(3))
+        if at:
+            path = [*path, e[4].decode("utf-8", "replace")]
+            definition, repetition = definition + (kind != "REQUIRED"), repetition + (kind == "REPEATED")
+        out.append({
+            "position": at, "path": ".".join(path), "name": e[4].decode("utf-8", "replace"), "type": name_of(TYPES, e.get(1)), "type_length": e.get(2), "repetition": kind, "num_children": e.get(5),
+            "converted_type": name_of(CONVERTED, e.get(6)), "logical_type": logical_name(e.get(10)), "scale": e.get(7), "precision": e.get(8), "max_definition_level": definition, "max_repetition_level": repetition,
+        })
+        at += 1
+        for _ in range(e.get(5) or 0):
+            at = walk(at, path, definition, repetition)
+        return at
+
+    walk(0, [], 0, 0)
+    return out
