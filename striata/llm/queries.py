@@ -54,14 +54,81 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), keep=crc_of(F.col("doc_id")) % 5 != 0))
 
 
+def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can say."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can say; the verdict where a rule gives it."""
+    return op3_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def base_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_token_count(spark, sf_dir).select("doc_id", "n_words")
+
+
+def base_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can say; the base score to four places."""
+    return op5_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can say; the target to six places."""
+    return op6_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_url_filter, op4_token_count, op5_lm_score, op6_mix_sources, op7_top_k, op8_near_dup, op9_decontaminate, op10_quality)}
+    base = (base_license_scan, base_url_filter, base_token_count, base_lm_score, base_mix_sources)
+    return {f.__name__: f for f in (*base, op1_license_scan, op2_toxicity, op3_url_filter, op4_token_count, op5_lm_score, op6_mix_sources, op7_top_k, op8_near_dup, op9_decontaminate, op10_quality)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+_BASE = license_scan.BASE_PHRASES
+_PLACES = ", ".join(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: array_to_string(w[i:i + {len(p.split()) - 1}], ' ') = '{p}'), lambda i: {{'at': i - 1, 'label': '{label}'}})" for p, label in _BASE.items())
+_RULES = ", ".join(f"('{kind}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for kind, rule in url_filter.RULES)
+
 ORACLE_SQL = {
+    "base_license_scan": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+h AS (SELECT doc_id, w, flatten([{_PLACES}]) AS hits FROM d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(hits) AS BIGINT) AS n_base, list_min(list_transform(hits, lambda h: h.at)) AS first_word, list_max(list_transform(hits, lambda h: h.at)) AS last_word,
+       array_to_string(list_sort(list_distinct(list_transform(hits, lambda h: h.label))), ',') AS base_labels
+FROM h
+""",
+    "base_url_filter": rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS h, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+q AS (SELECT page_id, translate(coalesce(h, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(path, '') AS path FROM p),
+r AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(kind, length(rule)) AS verdict FROM q, (VALUES {_RULES}) AS t(kind, rule, rh, rp)
+      WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT q.page_id, host, path, rule, verdict FROM q LEFT JOIN r USING (page_id)
+""",
+    "base_token_count": rf"SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS n_words FROM documents",
+    "base_lm_score": rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), i)) AS t),
+d AS (SELECT doc_id, list_append({_WORDS}, chr(10)) AS w,
+        coalesce(xor(list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 5 = 1, false) AS held_out
+      FROM documents, crc),
+tok AS (SELECT doc_id, held_out, unnest(w) AS x FROM d),
+c AS (SELECT x, count(*) AS n FROM tok WHERE NOT held_out GROUP BY x),
+z AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n_all, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.n) AS n_known, any_value(n_all) AS train_tokens, round(sum(log10((coalesce(c.n, 0) + 0.5) / (n_all + 0.5 * (v + 1)))), 4) AS base_score
+FROM tok LEFT JOIN c USING (x), z GROUP BY doc_id, held_out
+""",
+    "base_mix_sources": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, CAST(encode(source) AS VARCHAR)) - 1) % 3 + 1] AS DOUBLE) AS weight FROM d GROUP BY source),
+lvl AS (
+  SELECT 0 AS round, CAST(0 AS DOUBLE) AS level
+  UNION ALL
+  SELECT round + 1, (SELECT (sum(source_size) - coalesce(sum(3 * source_size) FILTER (3 * source_size <= lvl.level * weight), 0)) / sum(weight) FILTER (3 * source_size > lvl.level * weight) FROM s)
+  FROM lvl WHERE round < 60)
+SELECT doc_id, size, source_size, round(least(3.0 * source_size, (SELECT max(level) FROM lvl) * weight), 6) AS target
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+""",
     "op7_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
