@@ -148,12 +148,12 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndar
     return w, tuple(float(x) for x in theta0 + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
-def evidence(toxic: float, clean: float, share: float) -> float:
+def evidence(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     """Log likelihood ratio of toxic texts among those with a marker, against their share in the sample; 0 if not above it."""
-    own = toxic / (toxic + clean) if toxic else 0.0
-    if own <= share:
-        return 0.0
-    return toxic * math.log(own / share) + (clean * math.log((1 - own) / (1 - share)) if clean else 0.0)
+    own = toxic / np.maximum(toxic + clean, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = toxic * np.log(own / share) + np.where(clean > 0, clean * np.log((1 - own) / (1 - share)), 0.0)
+    return np.where(own > share, ratio, 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -179,10 +179,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     each = map_batches(sample.where("toxic").select("text", "half"), occurrences, "part string, n int, context long, half int").select("part", "context", "half", level)
     by_context = each.groupBy("part", "level", "context").agg(*(F.count_if(F.col("half") == h).alias(f"t{h}") for h in (0, 1)))
     sums = by_context.groupBy("part", "level").agg(*(e for h in (0, 1) for e in (F.sum(f"t{h}").alias(f"t{h}"), F.count_if(F.col(f"t{h}") > 0).alias(f"x{h}"))), F.count("*").alias("x"))
-    candidates = sums.where("x > 1 and t0 + t1 > 1").collect()
-    if not candidates:
+    candidates = sums.where("x > 1 and t0 + t1 > 1").toArrow()  # numbers and words of the bounded sample, in columns
+    if not candidates.num_rows:
         return Model()
-    numbers = {part: j for j, part in enumerate(sorted({r.part for r in candidates}))}
+    of_part = candidates.column("part").combine_chunks().dictionary_encode()
+    names = of_part.dictionary.to_pylist()
+    row, step = of_part.indices.to_numpy(), np.searchsorted(LEVELS, candidates.column("level").to_numpy())
+    counts = {}
+    for name in ("t0", "t1", "x0", "x1", "x"):
+        counts[name] = np.zeros((len(names), len(LEVELS)), dtype=np.int64)
+        counts[name][row, step] = candidates.column(name).to_numpy()
+    numbers = {part: j for j, part in enumerate(names)}
+    n_candidates = candidates.num_rows
+    del candidates, of_part
     shared = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def clean_counts(batch):
@@ -190,22 +199,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         stems = Stems(shared.value)
         for text, h in zip(column_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             for j, n in stems.count(text).items():
-                total.update((j, level, h) for level in LEVELS if level <= n)
-        return {"j": [j for j, _, _ in total], "level": [x for _, x, _ in total], "half": [h for *_, h in total], "n": list(total.values())}
-
-    clean: Counter = Counter()
-    for r in map_batches(sample.where("not toxic").select("text", "half"), clean_counts, "j int, level int, half int, n long").groupBy("j", "level", "half").agg(F.sum("n").alias("n")).collect():
-        clean[r.j, r.level, r.half] = r.n
-    bar = math.log(len(candidates)) + MARGIN
-    chosen: list[set] = [set(), set(), set()]  # markers learned on half 0, on half 1, on both
-    for r in candidates:
-        key = (numbers[r.part], r.level)
-        c0, c1 = clean[*key, 0], clean[*key, 1]
-        for side, (t, c) in enumerate(((min(r.t0, r.x0), c0), (min(r.t1, r.x1), c1), (min(r.t0 + r.t1, r.x), c0 + c1))):
-            toxic, all_ = (n_toxic[side], n_toxic[side] + n_clean[side]) if side < 2 else (sum(n_toxic), sum(n_toxic) + sum(n_clean))
-            if all_ and evidence(t, c, toxic / all_) >= bar:
-                chosen[side].add(key)
-    names = sorted(numbers, key=numbers.get)
+                total.update((j, i, h) for i, level in enumerate(LEVELS) if level <= n)
+        return {"j": [j for j, _, _ in total], "step": [i for _, i, _ in total], "half": [h for *_, h in total], "n": list(total.values())}
+
+    clean = np.zeros((2, len(names), len(LEVELS)), dtype=np.int64)
+    found = map_batches(sample.where("not toxic").select("text", "half"), clean_counts, "j int, step int, half int, n long").groupBy("j", "step", "half").agg(F.sum("n").alias("n")).toArrow()
+    clean[found.column("half").to_numpy(), found.column("j").to_numpy(), found.column("step").to_numpy()] = found.column("n").to_numpy()
+    bar = math.log(n_candidates) + MARGIN
+    sides = (
+        (np.minimum(counts["t0"], counts["x0"]), clean[0], n_toxic[0], n_clean[0]),
+        (np.minimum(counts["t1"], counts["x1"]), clean[1], n_toxic[1], n_clean[1]),
+        (np.minimum(counts["t0"] + counts["t1"], counts["x"]), clean[0] + clean[1], sum(n_toxic), sum(n_clean)),
+    )
+    chosen: list[set] = []  # markers learned on half 0, on half 1, on both
+    for toxic, others, t, c in sides:
+        over = evidence(toxic, others, t / (t + c)) >= bar if t and c else np.zeros(toxic.shape, dtype=bool)
+        chosen.append({(int(j), LEVELS[i]) for j, i in np.argwhere(over)})
     used = {names[j]: j for side in chosen for j, _ in side}
 
     def features(batch):
