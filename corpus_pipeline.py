@@ -1,4 +1,13 @@
-"""A corpus pipeline over `documents`: each stage works on all that the one before kept."""
+"""A corpus pipeline over `documents`: each stage works on all rows that the one before kept, and judges rows, not ids.
+
+Null or empty text: scored like an empty text by both classifiers, a copy of nothing, never contaminated, of size 0, so the
+mix takes nothing of it. Null doc_id: judged by its text like any other row, but not learned from. Repeated rows, or rows
+of one doc_id: each is judged by itself; of equal or near texts one row stays (the smallest doc_id, nulls last). Null
+source: a source of its own. Ties: the smallest doc_id stays in a group; equal finish times are ordered by rank of the source, hash
+and doc_id. Very long texts: processed whole, in pieces. Empty tables: no labels drop nothing as toxic and score all 0.5 for
+quality, no benchmark drops nothing, no documents give no rows. Extra columns, also with names that operators use: kept up
+to the last stage.
+"""
 
 from __future__ import annotations
 
