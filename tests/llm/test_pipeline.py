@@ -168,6 +168,27 @@ def test_licence_query_against_brute_force(spark, sf):
     assert all((r.n_base, r.labels, r.first_word) == (0, "", None) for r in got)
 
 
+@pytest.mark.parametrize("kind", ["empty", "null", "repeated"])
+def test_pipeline_on_odd_tables(spark, tmp_path, kind):
+    """No rows; nulls in every column; repeated, null and shared ids, with clashing column names."""
+    text, other, item = prose(60, 1), prose(60, 2), prose(30, 9000)
+    rows = {
+        "empty": [], "null": [(None, None, None, None, None, None, None)] * 3,
+        "repeated": [(1, text, "en", "a", 0, "r", 1)] * 3 + [(None, text, "en", "a", 0, "r", 1), (None, prose(20, 3) + " " + item, "en", "b", 0, "r", 1), (2, prose(20, 4) + " " + item, "en", "b", 0, "r", 1), (2, other, "en", "b", 0, "r", 1), (None, prose(50, 5), None, None, None, None, None)],
+    }[kind]
+    spark.createDataFrame(rows, DOCS + ", row string, n long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([] if kind == "empty" else [(None, None), (0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([] if kind == "empty" else [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "n"]
+    want = {"empty": [], "null": [None] * 3, "repeated": [None, 1, 2]}[kind]
+    assert sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is not None, i or 0)) == want
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in mixed} <= set(want) and all(r["size"] > 0 for r in mixed)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
