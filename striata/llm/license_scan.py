@@ -61,6 +61,9 @@ SPDX = {
 }
 TEMPLATES += [(label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for name, label in SPDX.items()]
 
+#: Words so common in any text that a file's are never looked up.
+COMMON = {b"a", b"all", b"and", b"any", b"are", b"as", b"at", b"by", b"for", b"in", b"is", b"of", b"or", b"the", b"this", b"to", b"with", b"you"}
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -69,7 +72,7 @@ class Index:
     """Postings of the templates' rare words: word -> [(template, position)]."""
 
     def __init__(self, templates=TEMPLATES, base=BASE_PHRASES, anchors: int = 3):
-        """anchors: how many of a template's highest-IDF words are rare ones."""
+        """anchors: how many of a template's highest-IDF words are rare ones (one of a base phrase: every place holds it)."""
         entries = [(label, t.encode().split(), [k.encode().split() for k in keys], False) for label, t, keys in templates]
         entries += [(label, p.encode().split(), [p.encode().split()], True) for p, label in base.items()]
         df = Counter(w for _, words, _, _ in entries for w in set(words))
@@ -77,7 +80,7 @@ class Index:
         self.entries = entries
         self.total = [sum(self.idf[w] for w in words) for _, words, _, _ in entries]
         self.longest = max((len(words) for _, words, _, _ in entries), default=0)
-        rare = {w for _, words, _, _ in entries for w in sorted(set(words), key=lambda w: (-self.idf[w], w))[:anchors]}
+        rare = {w for _, words, _, is_base in entries for w in sorted(set(words) - COMMON, key=lambda w: (-self.idf[w], w))[: 1 if is_base else anchors]}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, words, _, _) in enumerate(entries):
             for p, w in enumerate(words):
