@@ -5,17 +5,21 @@ Jaccard similarity is at least `percent`/100, and a group is a connected compone
 
 1. Documents of one word sequence (by a 128-bit cryptographic digest of the whole sequence) are one class, with its
    smallest doc_id; only classes are joined. Equal sets of other sequences are linked like any other pair.
-2. A class posts itself under each (coordinate, value) of its signature of COORDINATES minima. A pair is retained if it
-   collides in at least `matches(percent)` coordinates, which linked pairs do but for a chance of MISSED.
-3. Prefix and skip: postings are ordered by frequency. A class skips its matches - 1 most frequent coordinate-value
-   pairs: if two classes collide so often, they still meet under a rarer one. Values that nobody shares post nothing,
-   and values that a passage or frequent words give to very many classes are those skipped.
+2. A class posts itself under the values of each run of coordinates of its signature of POSTED minima (3 coordinates at
+   80 %: `runs(percent)` takes the longest that leave something to skip). Single values are shared by a part of all
+   classes, as frequent words are, so their lists grow with the square of the corpus; whole runs hardly are by chance.
+   A pair is retained if it collides in at least `matches(percent)` of the first COORDINATES, which linked pairs do but
+   for a chance of MISSED.
+3. Prefix and skip: postings are ordered by frequency. Linked pairs agree in at least `runs(percent)[1]` runs but for a
+   chance of MISSED, so a class skips all but one of so many, its most frequent ones: two linked classes still meet
+   under a rarer one. Runs that nobody shares post nothing, and runs that a passage or frequent words give to very many
+   classes are those skipped.
 4. Lists aren't expanded into their pairs. Every class of a list meets STARS of its members, its pivots. The lists of
    one first pivot are then taken as one: if all its classes are connected with it, it is done; else each class outside
    the pivot's component meets the others that aren't in its own component, in blocks of both sides for large groups.
    Two linked classes share a first pivot, so they are connected already or meet.
-5. Each meeting counts the pair's collisions over all coordinates, the skipped ones too: a class carries four bits of
-   each coordinate's value, so the count is never below the true one. Pairs below the match threshold make no row, nor do
+5. Each meeting counts the pair's collisions over COORDINATES, the skipped ones too: a class carries four bits of
+   each of these coordinates' values, so the count is never below the true one. Pairs below the match threshold make no row, nor do
    pairs ruled out by their sizes, by their distances to the pivot (1 - similarity is a metric), or by an odd sketch of
    ODD_BITS bits, in which each shingle flips one bit, so that two sketches never differ in more bits than the sets
    differ in shingles. What is left is verified on the whole sets of words, made again from the texts.
@@ -40,8 +44,10 @@ from pyspark.sql import functions as F
 
 from .common import LONG_TEXT, chunks, column_bytes, discard, exact_shingles, heavy_join, heavy_keys, map_batches, materialize, minima, mix, only, overlap, shingles_of, sizes_of, slices, small, stream
 
+#: Coordinates whose collisions are counted; coordinates that runs are made of, the counted ones first.
 COORDINATES = 64
-#: The chance that a pair at the threshold itself collides less often than the match threshold.
+POSTED = 96
+#: The chance that a pair at the threshold itself collides less often than the match threshold; the same for runs.
 MISSED = 2e-6
 #: Pivots of a list.
 STARS = 3
@@ -51,21 +57,34 @@ ODD_BITS = 2048
 BLOCK_CLASSES = 512
 
 
+def _fewest(p: float, n: int) -> int:
+    """The most collisions that n independent chances of p miss with a chance up to MISSED."""
+    below, m = 0.0, 0
+    while m < n and (below := below + comb(n, m) * p**m * (1 - p) ** (n - m)) <= MISSED:
+        m += 1
+    return m
+
+
 def matches(percent: int) -> int:
     """The match threshold: the most collisions that a pair of similarity percent / 100 misses with a chance up to MISSED."""
-    p, below, m = percent / 100, 0.0, 0
-    while m < COORDINATES and (below := below + comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) <= MISSED:
-        m += 1
+    m = _fewest(percent / 100, COORDINATES)
     if m < 1 or percent > 100:
         raise ValueError(f"percent {percent}: {COORDINATES} coordinates find similarities from 0.2 to 1")
     return m
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), d1, d2 (digest of the word sequence), tokens (coordinate-value pairs), s0..s3 (bit j of each coordinate's value)."""
-    a = stream(21, COORDINATES) | np.uint64(1)
-    b = stream(22, COORDINATES)
-    salt = stream(23, COORDINATES)
+def runs(percent: int) -> tuple[int, int]:
+    """Coordinates of a run (the most of which a linked pair shares two runs at least, else 1), and how many runs it shares."""
+    length = max((r for r in range(1, 9) if _fewest((percent / 100) ** r, POSTED // r) > 1), default=1)
+    return length, _fewest((percent / 100) ** length, POSTED // length)
+
+
+def signatures(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
+    """doc_id, n (set size), d1, d2 (digest of the word sequence), tokens (a hash of each run and its values), s0..s3 (bit j of each counted coordinate's value)."""
+    a = stream(21, POSTED) | np.uint64(1)
+    b = stream(22, POSTED)
+    salt = stream(23, POSTED)
+    length = runs(percent)[0]
     weight = np.uint64(1) << np.arange(COORDINATES, dtype=np.uint64)
 
     def work(batch):
@@ -81,16 +100,19 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             two = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             d1 += two[:, 0].tolist()
             d2 += two[:, 1].tolist()
-            sig = np.zeros((hi - lo, COORDINATES), dtype=np.uint64)
+            sig = np.zeros((hi - lo, POSTED), dtype=np.uint64)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full]) if hi - lo > 1 else sets[0]
                 begins = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-                for c in range(COORDINATES):
+                for c in range(POSTED):
                     sig[full, c] = minima(flat, begins, a[c], b[c])
             pairs = mix(sig + salt[None, :])
-            tokens += [x.view(np.int64) if m else np.zeros(0, np.int64) for x, m in zip(pairs, sizes, strict=True)]
+            run = np.zeros((hi - lo, POSTED // length), dtype=np.uint64)
+            for c in range(length):  # values hold their coordinate by its salt
+                run = mix(run * np.uint64(0xD6E8FEB86659FD93) + pairs[:, c : POSTED // length * length : length])
+            tokens += [x.view(np.int64) if m else np.zeros(0, np.int64) for x, m in zip(run, sizes, strict=True)]
             for j in range(4):
-                bits = (pairs >> np.uint64(11 + 9 * j)) & np.uint64(1)
+                bits = (pairs[:, :COORDINATES] >> np.uint64(11 + 9 * j)) & np.uint64(1)
                 sketch[j] += (bits * weight).sum(1, dtype=np.uint64).view(np.int64).tolist()
         return {"doc_id": batch.column(0), "n": n, "d1": d1, "d2": d2, "tokens": tokens} | {f"s{j}": sketch[j] for j in range(4)}
 
@@ -185,14 +207,14 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    base = materialize(signatures(docs, k))
+    base = materialize(signatures(docs, k, percent))
     usable = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     key = ["d1", "d2"]
     classes = materialize(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), *(F.first(f"s{j}").alias(f"s{j}") for j in range(4))))
     posted = classes.select("rep", F.explode("tokens").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("df"), "token"))
-    rarer = posted.join(shared, "token").withColumn("rank", rank).where(F.col("rank") >= matches(percent))
+    rarer = posted.join(shared, "token").withColumn("rank", rank).where(F.col("rank") >= runs(percent)[1])
     sketch = classes.select("rep", "n", *(f"s{j}" for j in range(4)))
     lists = materialize(rarer.select("token", "rep").join(sketch, "rep"))
     stars = None

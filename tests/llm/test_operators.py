@@ -364,6 +364,17 @@ def test_near_duplicates_at_the_threshold(spark):
     assert {r.doc_id for r in got if not r.kept} == linked | {901}
 
 
+def test_texts_of_frequent_words_share_few_postings(spark):
+    """Unlike texts have single minima in common wherever word pairs are frequent; such lists grow with the square of the corpus."""
+    r = np.random.RandomState(3)
+    rows = [(i, " ".join(f"v{x}" for x in r.randint(0, 40, 100)), "a") for i in range(400)]
+    sets = [exact_shingles(t.encode(), 2) for _, t, _ in rows]
+    assert 0.02 < np.mean([len(s & t) / len(s | t) for s, t in zip(sets, sets[1:])]) < 0.05
+    tokens = near_dup.signatures(frame(spark, rows), 2).selectExpr("explode(tokens) as token")
+    assert sum(n for _, n in tokens.groupBy("token").count().collect() if n > 1) < len(rows)
+    assert near_dup.near_duplicates(frame(spark, rows), 2).where("kept").count() == len(rows)
+
+
 def test_large_groups_meet_in_blocks_and_heavy_keys_are_dealt(spark, monkeypatch):
     from striata.llm import common
 
