@@ -457,6 +457,24 @@ def test_classifiers(spark):
     assert {r.score for r in quality.score(df, quality.fit(df, none)).collect()} == {0.5}
 
 
+@pytest.mark.parametrize(("n", "few"), [(160, 100_000), (160, 5), (12_500, 1000)])
+def test_quality_fit_takes_all_labelled_rows_and_pairs(spark, monkeypatch, n, few):
+    monkeypatch.setattr(quality, "FEW_SCORES", few)
+    r = np.random.RandomState(4)
+    texts = [" ".join(r.choice(["ab", "Cd", "x1", "e,", "f."], r.randint(1, 12))) + "!" * r.randint(0, 5) for _ in range(n)]
+    good = np.array([int(t.count("!") + r.randint(0, 4) > 3) for t in texts])
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    model = quality.fit(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), labels)
+    x = quality.features([t.encode() for t in texts])
+    assert np.allclose(model.mean, x.mean(0), rtol=1e-9, atol=1e-12)
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    raw = z @ model.w
+    assert abs(model.cut - np.quantile(raw, (good == 0).mean())) < 1e-9
+    if n < 1000:  # the gradient over all pairs is 0, and fewer pairs have another minimum
+        d = (z[good == 1][:, None, :] - z[good == 0][None, :, :]).reshape(-1, x.shape[1])
+        assert np.abs(d.T @ (1 / (1 + np.exp(-(d @ model.w))) - 1) / len(d) + 3e-3 * model.w).max() < 1e-5
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
