@@ -105,6 +105,19 @@ def test_bit_packed_round_trip(values):
     assert enc.hybrid(bytes([(len(values) // 8) << 1 | 1]) + packed, 11) == values
 
 
+def test_varints_of_every_length(spark, tmp_path):
+    from striata.plans import catalogue
+
+    keys = sorted({n for i in range(0, 64, 7) for n in (2**i - 1, 2**i, -(2**i))} - {2**63} | {2**53 + 1})
+    pq.write_table(pa.table({"o_orderkey": pa.array([*keys, None], pa.int64())}), tmp_path / "orders.parquet")
+    got = catalogue.queries()["enc_varint"](spark, str(tmp_path)).collect()
+    assert [(r.o_orderkey, r.v) for r in got] == [(k, k) for k in [*keys, None]]
+    sizes = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", F.octet_length(catalogue._varint("k")).alias("n")).collect()
+    assert all(r.n == (10 if r.k < 0 else max(1, -(-r.k.bit_length() // 7))) for r in sizes)
+    with pytest.raises(OverflowError):
+        enc.signed_64(2**64)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from striata.__main__ import main
 
