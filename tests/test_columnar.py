@@ -156,6 +156,19 @@ def test_values_of_pages(spark, tmp_path, codec, version):
     assert [(r.repetition_level, r.definition_level, r.integer) for r in nested][:6] == [(0, 3, 1), (1, 3, 2), (0, 0, None), (0, 1, None), (0, 2, None), (1, 3, 3)]
 
 
+def test_entries_are_numbered_over_files_and_row_groups(spark, tmp_path):
+    from striata.plans import catalogue
+
+    (tmp_path / "labels.parquet").mkdir()
+    toxic, names = [0, 1, None, 1, 1, 0, 0] * 30, [f"part-{i}.parquet" for i in (0, 1, 10, 2)]
+    for name, at in zip(names, (0, 50, 100, 103), strict=True):
+        rows = toxic[at : {0: 50, 50: 100, 100: 103, 103: 210}[at]]
+        pq.write_table(pa.table({"doc_id": range(len(rows)), "toxic": pa.array(rows, pa.int32())}), tmp_path / "labels.parquet" / name, row_group_size=20)
+    pq.write_table(pa.table({"doc_id": pa.array([], pa.int64()), "toxic": pa.array([], pa.int32())}), tmp_path / "labels.parquet" / "part-11.parquet")
+    got = sorted(catalogue._values(spark, str(tmp_path / "labels.parquet"), "toxic", "integer").collect())
+    assert [(r.entry, r.v) for r in got] == list(enumerate(toxic))
+
+
 def test_files_read_by_their_annotations(spark, tmp_path):
     path = str(tmp_path / "a.parquet")
     pq.write_table(pa.table({"t": pa.array([731888, None], pa.time32("ms")), "u": pa.array([250, None], pa.uint8()), "m": pa.array([1, 2], pa.time64("us")), "j": pa.array(['{"k": 1}', None], pa.json_()), "s": ["a", None]}), path)
