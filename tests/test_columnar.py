@@ -169,6 +169,21 @@ def test_entries_are_numbered_over_files_and_row_groups(spark, tmp_path):
     assert [(r.entry, r.v) for r in got] == list(enumerate(toxic))
 
 
+@pytest.mark.parametrize("version", ["1.0", "2.0"])
+def test_elements_are_numbered_without_absent_and_empty_lists(spark, tmp_path, version):
+    from striata.plans import catalogue
+
+    (path := tmp_path / "embeddings.parquet").mkdir()
+    lists = [[0.5, 1.5], None, [], [None, 2.5], [3.5], None] * 20
+    for i in range(3):
+        pq.write_table(pa.table({"vec_id": range(40), "embedding": pa.array(lists[40 * i : 40 * i + 40], pa.list_(pa.float32()))}), path / f"part-{i}.parquet", row_group_size=15, data_page_size=16, data_page_version=version)
+    got = sorted(catalogue._values(spark, str(path), "embedding.list.element", "number", "repetition_level").collect())
+    want = [(int(i > 0), v) for x in lists for i, v in enumerate(x or [])]
+    assert [tuple(r) for r in got] == [(n, *x) for n, x in enumerate(want)]
+    pq.write_table(pa.table({"a": [[[1, 2], []], None, [[], None, [3, None]]], "b": [{"x": [1]}, None, {"x": []}]}), tmp_path / "deep.parquet", data_page_version=version)
+    assert [(r.path, r.entries, r.elements) for r in colmeta.metadata(spark, str(tmp_path / "deep.parquet"), "count").collect()] == [("a.list.element.list.element", 8, 4), ("b.x.list.element", 3, 1)]
+
+
 def test_files_read_by_their_annotations(spark, tmp_path):
     path = str(tmp_path / "a.parquet")
     pq.write_table(pa.table({"t": pa.array([731888, None], pa.time32("ms")), "u": pa.array([250, None], pa.uint8()), "m": pa.array([1, 2], pa.time64("us")), "j": pa.array(['{"k": 1}', None], pa.json_()), "s": ["a", None]}), path)
