@@ -184,6 +184,19 @@ def test_elements_are_numbered_without_absent_and_empty_lists(spark, tmp_path, v
     assert [(r.path, r.entries, r.elements) for r in colmeta.metadata(spark, str(tmp_path / "deep.parquet"), "count").collect()] == [("a.list.element.list.element", 8, 4), ("b.x.list.element", 3, 1)]
 
 
+def test_values_of_one_column_read_no_other(spark, tmp_path):
+    from striata.plans import catalogue
+
+    (path := tmp_path / "orders.parquet").mkdir()
+    prices = [0.5, float("inf"), None, -1.25] * 25
+    for i in range(2):
+        pq.write_table(pa.table({"o_orderkey": range(50), "o_totalprice": prices[50 * i : 50 * i + 50]}), path / f"part-{i}.parquet", row_group_size=20, use_dictionary=False, column_encoding={"o_orderkey": "DELTA_BINARY_PACKED", "o_totalprice": "PLAIN"})
+    got = sorted(catalogue._values(spark, str(path), "o_totalprice", "number").collect())
+    assert [tuple(r) for r in got] == list(enumerate(prices))
+    with pytest.raises(Exception, match="DELTA_BINARY_PACKED"):
+        colmeta.metadata(spark, str(path), "value").collect()
+
+
 def test_files_read_by_their_annotations(spark, tmp_path):
     path = str(tmp_path / "a.parquet")
     pq.write_table(pa.table({"t": pa.array([731888, None], pa.time32("ms")), "u": pa.array([250, None], pa.uint8()), "m": pa.array([1, 2], pa.time64("us")), "j": pa.array(['{"k": 1}', None], pa.json_()), "s": ["a", None]}), path)
