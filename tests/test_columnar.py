@@ -197,6 +197,19 @@ def test_values_of_one_column_read_no_other(spark, tmp_path):
         colmeta.metadata(spark, str(path), "value").collect()
 
 
+def test_row_groups_of_a_file_go_to_several_tasks(tmp_path, monkeypatch):
+    monkeypatch.setattr(colmeta, "SPLIT", 700)
+    path, keys = str(tmp_path / "orders.parquet"), [k * 7919 - 2**40 for k in range(1000)]
+    pq.write_table(pa.table({"o_orderkey": keys}), path, row_group_size=90, compression="none")
+    reader = colmeta._Reader(path, "value", "o_orderkey")
+    tasks = [[b for b in reader.read(p)] for p in reader.partitions()]
+    assert sum(map(bool, tasks)) > 5
+    rows = [r for task in tasks for b in task for r in b.to_pylist()]
+    assert [(r["row_group"], r["element"], r["integer"]) for r in rows] == [(n // 90, n % 90, k) for n, k in enumerate(keys)]
+    reader = colmeta._Reader(path, "count", "o_orderkey")
+    assert [r[-1] for p in reader.partitions() for r in reader.read(p)] == [90] * 11 + [10]
+
+
 def test_files_read_by_their_annotations(spark, tmp_path):
     path = str(tmp_path / "a.parquet")
     pq.write_table(pa.table({"t": pa.array([731888, None], pa.time32("ms")), "u": pa.array([250, None], pa.uint8()), "m": pa.array([1, 2], pa.time64("us")), "j": pa.array(['{"k": 1}', None], pa.json_()), "s": ["a", None]}), path)
